@@ -1,0 +1,43 @@
+"""A bounded cache for words, and a cut of texts into words to be cached."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+#: Longer words (texts without spaces, say) are not kept.
+LONG = 64
+#: White space in front of a space: there a cut before the space may be wrong.
+PLAIN = [x + " " for x in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
+OTHER = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
+
+
+class Memo(dict):
+    """``make(key)`` with a cache of two generations: when the young one holds
+    ``limit`` keys it becomes the old one, and keys still in use come back."""
+
+    def __init__(self, make: Callable, limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if isinstance(key, str) and len(key) > LONG:
+                return value
+        self[key] = value
+        return value
+
+    def trim(self) -> None:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
+
+def cut(text: str) -> list[str]:
+    """The text split at spaces if a pre-tokenizer whose matches hold white
+    space only at their start never crosses these places; else one string."""
+    if any(x in text for x in PLAIN) or not text.isascii() and OTHER.search(text):
+        return [text]
+    return text.split(" ")
