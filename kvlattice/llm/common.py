@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -15,8 +16,8 @@ ROOT = str(Path(__file__).resolve().parents[2])
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A key is hot from this share of the rows; so at most 1 / HOT_SHARE keys are.
 HOT_SHARE = 1 / 500
-#: Rows of documents that an Arrow batch brings to Python at once.
-BATCH_ROWS = "256"
+#: Rows, and bytes, that an Arrow batch brings to Python at most.
+BATCH_ROWS, BATCH_BYTES = "16384", str(2 << 20)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -27,6 +28,7 @@ def prepare(spark: SparkSession) -> SparkSession:
         have = os.pathsep.join(x for x in (ROOT, have) if x)
     env["PYTHONPATH"] = have
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 
@@ -66,6 +68,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that have ended. It does so
+    when the driver's garbage is collected, which may otherwise be much later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, key, text: key orders rows as doc_id does and no two rows share
+    one. Where doc_ids are unique the key is the doc_id itself; else rows are
+    numbered in the order of doc_id (null first) and text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    ids = rows.groupBy("doc_id").count()
+    if not ids.filter("count > 1 or doc_id is null").limit(1).count():
+        return rows.select("doc_id", F.col("doc_id").alias("key"), "text")
+    ordered = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    return materialize(ordered.select("doc_id", F.monotonically_increasing_id().alias("key"), "text"), "keyed")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else. Pure ASCII takes Spark's fast path."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

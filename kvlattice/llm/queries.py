@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_naming, language_id, license_scan, ngram_join, packing, pivot_topk, prefix_bpe, token_stream
+from . import block_naming, language_id, license_scan, ngram_join, packing, pivot_topk, prefix_bpe, suffix_dedup, token_stream
 from .common import documents, prepare
 
 ALPHABETS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -30,6 +30,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_documents(documents(spark, sf_dir))
 
@@ -77,6 +81,7 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pivot_topk": op1_pivot_topk,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_license_scan": op3_license_scan,
         "op5_prefix_bpe": op5_prefix_bpe,
         "op6_ngram_join": op6_ngram_join,
