@@ -21,10 +21,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, lookup, materialize
+from .common import ascii_lower, lookup, materialize, only
 
 BLOCK_BYTES = 4096
 
@@ -104,3 +104,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("_row") == F.col("_best._row")).alias("kept"),
         F.col("_sha").alias("text_sha256"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that exact_dedup keeps, all columns as they are."""
+    found = materialize(exact_dedup(docs, id_col, text_col), "exact")
+    kept = found.filter("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    if not found.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        return only(docs, kept, id_col)
+    # doc_ids repeat: tell rows apart by text, and keep one of equal rows
+    kept = kept.select(F.col("id").alias("_kept_id"), F.col("sha").alias("_kept_sha"))
+    same = docs[id_col].eqNullSafe(F.col("_kept_id")) & (F.sha2(normalised(text_col), 256) == F.col("_kept_sha"))
+    each = Window.partitionBy("_kept_id", "_kept_sha").orderBy(id_col)
+    rows = docs.join(kept, same).withColumn("_kept_rank", F.row_number().over(each))
+    return rows.filter("_kept_rank = 1").select(*[docs[c] for c in docs.columns])

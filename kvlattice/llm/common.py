@@ -75,16 +75,20 @@ def settle(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, key, text: key orders rows as doc_id does and no two rows share
-    one. Where doc_ids are unique the key is the doc_id itself; else rows are
-    numbered in the order of doc_id (null first) and text."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ids = rows.groupBy("doc_id").count()
-    if not ids.filter("count > 1 or doc_id is null").limit(1).count():
-        return rows.select("doc_id", F.col("doc_id").alias("key"), "text")
-    ordered = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.select("doc_id", F.monotonically_increasing_id().alias("key"), "text"), "keyed")
+def keyed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``rows`` with a column _key that orders them as the id does and that no
+    two of them share. Where ids are unique the key is the id itself; else rows
+    are numbered in the order of id (null first) and text."""
+    ids = rows.groupBy(F.col(id_col).alias("_key")).count()
+    if not ids.filter("count > 1 or _key is null").limit(1).count():
+        return rows.withColumn("_key", F.col(id_col))
+    ordered = rows.repartitionByRange(id_col, text_col).sortWithinPartitions(id_col, text_col)
+    return materialize(ordered.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+
+
+def only(docs: DataFrame, kept: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``docs`` whose id is in ``kept.id``, all columns as they are."""
+    return docs.join(kept.select(F.col("id").alias("_kept_id")), docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, materialize
+from .common import lookup, materialize, only
 from .shingles import shingles
 
 WORDS, PERCENT = 4, 85
@@ -308,3 +308,10 @@ def _compare_late(large: DataFrame, found: DataFrame, links: DataFrame, texts: D
     right = late.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cell", code, F.lit(True).alias("late"), "doc", "label")
     more = _late_links(left.unionByName(right).join(texts, "doc"), words, percent)
     return components(links.unionByName(materialize(more, "late-links")))
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The smallest document of each component, all columns as they are."""
+    found = join(docs, words, percent, id_col, text_col)
+    kept = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("id")).distinct()
+    return only(docs, materialize(kept, "representatives"), id_col)

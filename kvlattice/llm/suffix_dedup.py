@@ -385,13 +385,16 @@ def kept(data: bytes, ranges: list[int]) -> tuple[bytes, int, int]:
 
 
 def _with_ranges(rows: DataFrame) -> DataFrame:
-    found = repeats(rows).groupBy("key").agg(F.collect_list("place").alias("ranges"))
-    return rows.join(found, "key", "left")
+    """rows (with _key and text) and the ranges of each."""
+    found = repeats(rows.select(F.col("_key").alias("key"), "text"))
+    found = found.groupBy(F.col("key").alias("_key")).agg(F.collect_list("place").alias("_ranges"))
+    return rows.join(found, "_key", "left")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; one row per input row."""
-    rows = keyed(docs, id_col, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = keyed(rows, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -403,4 +406,28 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             n, gone, runs, sha = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_ranges(rows).select("doc_id", "text", "ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_ranges(rows).select("doc_id", "text", "_ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
+    """``docs`` without the repeated bytes; all rows and columns stay, and
+    ``count_col``, if there is one, counts the characters left. A character of
+    which a part was removed goes as a whole."""
+    kinds, names = docs.dtypes, [f"c{k}" for k in range(len(docs.columns))]
+    at = docs.columns.index(text_col)
+    number = docs.columns.index(count_col) if count_col in docs.columns else None
+    plain = docs.toDF(*names)
+    rows = keyed(plain.select("*", F.col(names[at]).cast("string").alias("text"), F.col(names[docs.columns.index(id_col)]).cast("long").alias("_id")), "_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, texts = batch.columns[:-1], batch.column(at).to_pylist()
+            out = [t if t is None or not r else kept(t.encode("utf-8", "replace"), r)[0].decode("utf-8", "ignore") for t, r in zip(texts, batch.columns[-1].to_pylist(), strict=True)]
+            columns[at] = pa.array(out, pa.string())
+            if number is not None:
+                sizes = [old if t is None or not r else len(t) for t, old, r in zip(out, columns[number].to_pylist(), batch.columns[-1].to_pylist(), strict=True)]
+                columns[number] = pa.array(sizes, columns[number].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    done = _with_ranges(rows).select(*names, "_ranges").mapInArrow(run, ", ".join(f"{c} {kind}" for c, (_, kind) in zip(names, kinds, strict=True)))
+    return done.toDF(*docs.columns)
