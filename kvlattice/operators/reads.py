@@ -55,8 +55,9 @@ def since(log: DataFrame, version: int) -> DataFrame:
 def prefix_end(prefix: str) -> str | None:
     """The smallest string above all that start with ``prefix``."""
     for i in range(len(prefix) - 1, -1, -1):
-        if ord(prefix[i]) < 0x10FFFF and ord(prefix[i]) + 1 not in range(0xD800, 0xE000):
-            return prefix[:i] + chr(ord(prefix[i]) + 1)
+        if ord(prefix[i]) < 0x10FFFF:
+            after = ord(prefix[i]) + 1
+            return prefix[:i] + chr(0xE000 if after == 0xD800 else after)  # surrogates are no characters
     return None
 
 
