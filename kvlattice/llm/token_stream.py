@@ -40,7 +40,8 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 class SequenceWriter:
-    """Appends ids to one file of fixed-length sequences, batch by batch."""
+    """Appends ids to one file of fixed-length sequences. Each record batch but
+    the last has SEQUENCES of them, so a sequence is found by its number."""
 
     def __init__(self, folder: str, length: int = LENGTH, dtype: str = "<u4"):
         self.length, self.dtype, self.path = length, np.dtype(dtype), f"{folder}/{uuid.uuid4().hex}"
@@ -61,7 +62,7 @@ class SequenceWriter:
         self.n_waiting += len(ids)
         self.n_ids += len(ids)
         if self.n_waiting >= self.length * SEQUENCES:
-            self._flush(self.n_waiting // self.length)
+            self._flush(self.n_waiting // (self.length * SEQUENCES) * SEQUENCES)
 
     def add_documents(self, doc_ids: pa.Array, n_tokens: list[int]) -> None:
         self.docs.write_batch(pa.record_batch([doc_ids, pa.array(n_tokens, pa.int64())], ["doc_id", "n_tokens"]))
@@ -78,13 +79,11 @@ class SequenceWriter:
         self.file.write_batch(pa.record_batch(cells, ["tokens", "mask"]))
 
     def close(self) -> None:
-        if self.n_waiting >= self.length:
-            self._flush(self.n_waiting // self.length)
-        if self.n_waiting:
+        if self.n_waiting:  # less than a batch, with the one padded sequence
             rest = np.concatenate(self.waiting)
-            padded = np.zeros(self.length, self.dtype)
+            padded = np.zeros(-(-len(rest) // self.length) * self.length, self.dtype)
             padded[: len(rest)] = rest
-            self._write(padded, np.arange(self.length) < len(rest))
+            self._write(padded, np.arange(len(padded)) < len(rest))
         for x in (self.file, self.sink, self.docs, self.docs_sink):
             x.close()
 
