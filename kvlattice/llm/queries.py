@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_naming, language_id, license_scan, ngram_join, packing, pivot_topk, prefix_bpe, suffix_dedup, token_stream
+from . import block_naming, language_id, license_scan, ngram_join, packing, pivot_topk, prefix_bpe, role_repair, suffix_dedup, token_stream
 from .common import documents, prepare
 
 ALPHABETS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -38,6 +38,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_documents(documents(spark, sf_dir))
 
 
+def op4_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return role_repair.format_chats(prepare(spark).read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -89,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pivot_topk": op1_pivot_topk,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_license_scan": op3_license_scan,
+        "op4_role_repair": op4_role_repair,
         "op5_prefix_bpe": op5_prefix_bpe,
         "op6_ngram_join": op6_ngram_join,
         "op7_token_stream": op7_token_stream,
