@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codecs, codecs_sql
@@ -603,3 +603,88 @@ def _(spark, d):
 def _(spark, d):
     keys = _keys(spark, d)
     return registry.upsert(keys, keys.filter("key_id <= 5").withColumn("data", F.lit("new"))).select("key_id", "data")
+
+
+# ---- predicates and marks
+
+
+@query(
+    "range_overlaps",
+    """WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE lpad(CAST(o_custkey AS VARCHAR), 6, '0') END AS l,
+  CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE lpad(CAST(o_custkey + o_orderkey % 50 AS VARCHAR), 6, '0') END AS r, o_orderkey % 13 = 0 AS inf FROM orders)
+SELECT o_orderkey, CASE WHEN l = '' AND r = '' AND NOT inf THEN true WHEN inf THEN true ELSE l <= '000700' AND r >= '000600' END AS meets FROM r""",
+)
+def _(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    six = lambda x: F.when(k % 11 == 0, "").otherwise(F.lpad(x.cast("string"), 6, "0"))
+    rows = read(spark, d, "orders").select("o_orderkey", six(c).alias("l"), six(c + k % 50).alias("r"), (k % 13 == 0).alias("inf"), F.lit("000600").alias("ol"), F.lit("000700").alias("orr"), F.lit(False).alias("oi"))
+    return rows.select("o_orderkey", manifest.range_overlaps("l", "r", "inf", "ol", "orr", "oi").alias("meets"))
+
+
+@query("entry_marks", f"WITH {LOG} SELECT seq, meta | 4 AS discarding, meta | 8 AS merging, CASE WHEN seq % 2 = 0 THEN {NOW} + seq ELSE 0 END AS expires FROM log")
+def _(spark, d):
+    m = F.col("meta")
+    expires = F.when(F.col("seq") % 2 == 0, F.lit(NOW) + F.col("seq")).otherwise(0).cast("long")
+    return events_log(spark, d).select("seq", m.bitwiseOR(F.lit(4)).alias("discarding"), m.bitwiseOR(F.lit(8)).alias("merging"), expires.alias("expires"))
+
+
+@query("threshold_flags", f"WITH {LOG} SELECT seq, strlen(value) < 9 AS in_line FROM log")
+def _(spark, d):
+    return events_log(spark, d).select("seq", (F.octet_length("value") < 9).alias("in_line"))
+
+
+@query("table_cut", f"WITH {LOG}, r AS (SELECT seq, table_id, CAST(coalesce(sum(strlen(user_key) + strlen(value)) OVER (PARTITION BY table_id ORDER BY user_key, version DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS p FROM log) SELECT table_id, p // 3891 AS file, count(*) AS n FROM r GROUP BY ALL")
+def _(spark, d):
+    before = Window.partitionBy("table_id").orderBy(*canonical()).rowsBetween(Window.unboundedPreceding, -1)  # a table is bounded
+    at = F.coalesce(F.sum(F.octet_length("user_key") + F.octet_length("value")).over(before), F.lit(0))
+    return events_log(spark, d).withColumn("file", F.floor(at / int(4096 * 0.95))).groupBy("table_id", "file").agg(F.count("*").alias("n"))
+
+
+@query("get_over_sources", f"""WITH {LOG}, u AS (SELECT user_key, version, value, 0 AS src FROM log WHERE seq % 5 = 0 UNION ALL SELECT user_key, version, 'old ' || value, 1 FROM log),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY version DESC, src) AS n FROM u WHERE version <= {AT}) SELECT user_key, version, value FROM r WHERE n = 1""")
+def _(spark, d):
+    log = events_log(spark, d)
+    memtable, levels = log.filter("seq % 5 = 0"), log.withColumn("value", F.concat(F.lit("old "), F.col("value")))
+    return reads.newest(merge.merge([memtable, levels]), AT).select(*COLUMNS)
+
+
+@query("versions_per_key", f"WITH {LOG} SELECT user_key, count(*) AS versions, max(version) AS max_version, min(version) AS min_version FROM log GROUP BY user_key")
+def _(spark, d):
+    return events_log(spark, d).groupBy("user_key").agg(F.count("*").alias("versions"), F.max("version").alias("max_version"), F.min("version").alias("min_version"))
+
+
+# ---- more scalar functions
+
+
+@query("bits_per_key", "SELECT o_orderkey + 1 AS n, CAST(floor(-(o_orderkey + 1) * ln(0.01) / pow(ln(2), 2) / (o_orderkey + 1)) AS BIGINT) AS bits FROM orders")
+def _(spark, d):
+    n = F.col("o_orderkey") + 1
+    return read(spark, d, "orders").select(n.alias("n"), codecs_sql.bits_per_key(n, F.lit(0.01)).alias("bits"))
+
+
+@query("code_names", "SELECT event_id, ['none', 'snappy', 'zstd', 'lz4'][event_id % 4 + 1] AS compression, ['crc32', 'xxhash64', 'seahash'][event_id % 3 + 1] AS checksum, ['CREATE', 'DELETE'][event_id % 2 + 1] AS operation FROM events")
+def _(spark, d):
+    e = F.col("event_id")
+    name = lambda n, names: codecs_sql.code_name((e % n).cast("int"), names)
+    return read(spark, d, "events").select("event_id", name(4, codecs_sql.COMPRESSION).alias("compression"), name(3, codecs_sql.CHECKSUM).alias("checksum"), name(2, codecs_sql.OPERATION).alias("operation"))
+
+
+@query("record_iv", f'WITH {LOG}, {SPLIT} SELECT seq, \'000102030405060708090a0b\' || printf(\'%08x\', "offset") AS iv FROM split WHERE in_log')
+def _(spark, d):
+    base = F.unhex(F.lit("000102030405060708090a0b"))
+    return _split(spark, d).filter("in_log").select("seq", F.lower(F.hex(codecs_sql.file_iv(base, F.col("offset")))).alias("iv"))
+
+
+@query("value_encryption", f"WITH {LOG} SELECT seq, value FROM log")
+def _(spark, d):
+    key = F.lit("0123456789abcdef0123456789abcdef")
+    hidden = events_log(spark, d).select("seq", F.aes_encrypt("value", key, F.lit("GCM")).alias("hidden"))
+    return hidden.select("seq", F.aes_decrypt("hidden", key, F.lit("GCM")).cast("string").alias("value"))
+
+
+@query("common_suffix", """WITH r AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS a, CAST(o_orderkey + o_custkey * 100 AS VARCHAR) AS b FROM orders)
+SELECT o_orderkey, (SELECT count(*) FROM range(1, 40) AS t(i) WHERE i <= least(length(a), length(b)) AND right(a, i) = right(b, i)) AS lcs FROM r""")
+def _(spark, d):
+    k = F.col("o_orderkey")
+    lcs = codecs_sql.common_suffix(k.cast("string"), (k + F.col("o_custkey") * 100).cast("string"))
+    return read(spark, d, "orders").select("o_orderkey", lcs.cast("long").alias("lcs"))
