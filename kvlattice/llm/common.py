@@ -65,7 +65,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage with a table written to the shared folder."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table._scratch)
 
 
 def settle(spark: SparkSession) -> None:
@@ -86,6 +94,12 @@ def keyed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialize(ordered.withColumn("_key", F.monotonically_increasing_id()), "keyed")
 
 
+def unique_ids(rows: DataFrame, id_col: str) -> bool:
+    """Whether ids are there and tell all rows apart."""
+    ids = rows.groupBy(F.col(id_col).alias("_key")).count()
+    return not ids.filter("count > 1 or _key is null").limit(1).count()
+
+
 def only(docs: DataFrame, kept: DataFrame, id_col: str) -> DataFrame:
     """Rows of ``docs`` whose id is in ``kept.id``, all columns as they are."""
     return docs.join(kept.select(F.col("id").alias("_kept_id")), docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
@@ -114,5 +128,21 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], count: str) -> Dat
     )
 
 
+#: Bits of the filter that narrowed() broadcasts, in words of 64.
+FILTER_BITS = 1 << 23
+
+
+def narrowed(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose key is not in ``ids`` (any column
+    types, same name): a join that follows shuffles less. The filter is a bitmap
+    of hashed keys, at most FILTER_BITS / 64 rows whatever the input."""
+    h = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    words = ids.select(h.alias("_h")).groupBy(F.expr("_h div 64").alias("_word"))
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(_h % 64 as int))")).alias("_mask"))
+    hashed = rows.withColumn("_h", h).withColumn("_word", F.expr("_h div 64"))
+    found = hashed.join(F.broadcast(words), "_word").filter("(shiftright(_mask, cast(_h % 64 as int)) & 1L) = 1")
+    return found.select(*rows.columns)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
