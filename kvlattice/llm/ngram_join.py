@@ -1,7 +1,7 @@
 """N-gram Jaccard join: a count-vector R-tree over hashed shingle groups.
 
 Two documents link when 100 * intersection >= percent * union of their sets of
-word shingles. A set's shingles are hashed into ``GROUPS`` groups; the counts in
+word shingles. A set's shingles are hashed into groups; the counts in
 the groups are a point, and the summed coordinate minima of two points bound
 the overlap of their sets from above. An R-tree over points bounds whole pages
 by the maxima of their members. Pairs that no bound rules out are verified by
@@ -12,25 +12,32 @@ most page pairs, so documents are first routed, without loss, to cells, and a
 cell has a tree of its own. By the prefix principle two linked sets share one
 of the first n - ceil(n * percent / 100) + 1 shingles in any common order; here
 the order puts shingles that are frequent in a bounded sample last (which
-changes the cost, never the result). Documents that share such a shingle all go
-to the cell named by the smallest of them. So a pair that could link meets in a
-cell, and copies of one text meet in one or few cells, each document once.
-
-Equal sets are one node from the start. A cell of more than ``CELL`` documents is
-dealt over parts, the naming document in each of them; what the parts leave
-outside the component of the naming document (mostly nothing) is then compared,
+changes the cost, never the result). Documents that share such a shingle are
+routed to the smallest of them, and there to a cell of their band of sizes, as
+natives, and of the next one, as guests: linked sets are of one band or of
+neighbouring ones.
+
+First the points alone go to the cells, and the trees find the pairs that no bound
+rules out. Their components are the families within which sets may link; every
+document of a family brings its text there, once, and is verified by a tree of
+the family. The number of groups grows with the sets (``groups_of``), as chance
+differences of counts grow with its root only. Equal sets are one node from the
+start. Cells with more than ``POINTS`` points meet in pairs of blocks. A family of
+more than ``CELL`` texts is dealt over parts, its smallest document in each of them; what the parts leave
+outside the component of that document (mostly nothing) is then compared,
 block by block, with all parts. So no task gets an unbounded group. Components
 over all cells come from label propagation with shortcuts, on DataFrames.
 
 Defined cases: null and empty text has no shingle and links with nothing; fewer
-words than a shingle has are one shingle; a null doc_id is an id below all
-others; rows with one doc_id count as one document; an empty table gives no
-rows; further columns are ignored.
+words than a shingle has are one shingle; repeated rows, rows with one doc_id
+and rows with a null one (below all others) are documents of their own, in the
+order of their texts; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,27 +46,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, materialize, only
+from .common import discard, keyed, lookup, materialize, narrowed, only, settle, unique_ids
 from .shingles import shingles
 
 WORDS, PERCENT = 4, 85
-GROUPS, PAGE, CELL = 64, 32, 512
+LEAST_GROUPS, PAGE, CELL, POINTS = 64, 32, 512, 4096
 SAMPLE, FREQUENT = 1000, 4
-NO_ID = -(1 << 63)
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def counts(sets: list[np.ndarray]) -> np.ndarray:
+def groups_of(n: int) -> int:
+    """Groups for sets of n shingles or more: the power of two from n / 8 on."""
+    return max(LEAST_GROUPS, 1 << max(0, (n - 1) // 8).bit_length())
+
+
+def band_of(n: int, percent: int) -> int:
+    return math.floor(math.log(n) / math.log(100 / percent) + 1e-9)
+
+
+def band_groups(band: int, percent: int) -> int:
+    """Groups in cells of a band, from its smallest size."""
+    return groups_of(int((100 / percent) ** band))
+
+
+def counts(sets: list[np.ndarray], groups: int) -> np.ndarray:
     """The point of each set."""
-    out = np.zeros((len(sets), GROUPS), np.int32)
+    out = np.zeros((len(sets), groups), np.int32)
     for k, s in enumerate(sets):
-        out[k] = np.bincount((s >> np.uint64(40)) % np.uint64(GROUPS), minlength=GROUPS)
+        out[k] = np.bincount((s >> np.uint64(32)) % np.uint64(groups), minlength=groups)
     return out
 
 
+def fold(point: np.ndarray, groups: int) -> np.ndarray:
+    """A point of more groups, a power of two times as many, as one of fewer."""
+    return point.reshape(-1, groups).sum(axis=0)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = np.sort(np.concatenate([a, b]))
     same = int((both[1:] == both[:-1]).sum())
@@ -134,17 +159,38 @@ def cell_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
         if linked(sets[0], sets[k], percent):
             parts.join(0, k)
     if len(set(parts.labels())) > 1:
-        tree = CountTree(counts(sets), sizes)
+        tree = CountTree(counts(sets, groups_of(int(sizes.min()))), sizes)
         join_points(tree, tree, sets, sets, 0, parts, percent, True)
     return parts.labels()
 
 
+def possible(points: np.ndarray, sizes: np.ndarray, native: np.ndarray, percent: int) -> np.ndarray:
+    """Smallest member of each member's family: pairs, one of both a native,
+    that no bound rules out. Pages of one family are skipped."""
+    parts, tree = Components(len(sizes)), CountTree(points, sizes)
+    labels = parts.labels()
+    for p, q in tree.page_pairs(tree, percent, True):
+        if labels[p].min() == labels[p].max() == labels[q].min() == labels[q].max() or not (native[p].any() or native[q].any()):
+            continue
+        bound = np.minimum(points[p][:, None, :], points[q][None, :, :]).sum(axis=2)
+        may = (bound * (100 + percent) >= percent * (sizes[p][:, None] + sizes[q])) & (native[p][:, None] | native[q])
+        while True:
+            i, j = np.nonzero(may & (labels[p][:, None] != labels[q]))
+            if not len(i):
+                break
+            _, first = np.unique(i, return_index=True)
+            for k in first:
+                parts.join(p[i[k]], q[j[k]])
+            labels = parts.labels()
+    return labels
+
+
 def _described(docs: DataFrame, words: int, percent: int, frequent: np.ndarray | None) -> DataFrame:
-    """doc, n, same (identity of the set) and keys (the set's prefix)."""
+    """doc, n, same (identity of the set), point, and keys (the set's prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, same, keys = [], [], []
+            n, same, keys, sets = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text or "", words)
                 first = s[: prefix_length(len(s), percent)] if len(s) else s
@@ -152,13 +198,16 @@ def _described(docs: DataFrame, words: int, percent: int, frequent: np.ndarray |
                     late = np.isin(s, frequent)
                     first = np.concatenate([s[~late], s[late]])[: len(first)]
                 n.append(len(s))
+                sets.append(s)
                 same.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 keys.append(first.astype("<i8"))
             ends = np.cumsum([0, *map(len, keys)])
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, "i8"), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc", "n", "same", "keys"])
+            wide = [counts([x], band_groups(band_of(len(x), percent) + 1, percent))[0] if len(x) else np.zeros(0) for x in sets]
+            point = pa.array([x.astype("<u2").tobytes() for x in wide], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), point, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc", "n", "same", "point", "keys"])
 
-    return docs.mapInArrow(run, "doc long, n long, same binary, keys array<long>")
+    return docs.mapInArrow(run, "doc long, n long, same binary, point binary, keys array<long>")
 
 
 def _frequent(docs: DataFrame, words: int) -> np.ndarray:
@@ -220,7 +269,8 @@ def _late_links(placed: DataFrame, words: int, percent: int) -> DataFrame:
     def make(rows: list) -> Iterator[pa.RecordBatch]:
         rows = sorted({(r[2], r[3]): r for r in rows}.values(), key=lambda r: r[2:4])
         sets = [shingles(r[5] or "", words) for r in rows]
-        sizes, points, cut = np.array([len(s) for s in sets]), counts(sets), sum(not r[2] for r in rows)
+        sizes, cut = np.array([len(s) for s in sets]), sum(not r[2] for r in rows)
+        points = counts(sets, groups_of(int(sizes.min())))
         parts, first = Components(len(rows)), {}
         for k, r in enumerate(rows):
             parts.join(first.setdefault(r[4], k), k)
@@ -254,50 +304,103 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("labels did not settle")
 
 
+def _cells(routed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """cell, band, doc, n, point, native: a row for each cell of a document."""
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9)
+    both = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("native")), F.struct((band + 1).alias("band"), F.lit(False).alias("native"))))
+    each = routed.join(nodes.select("doc", "n"), "doc").withColumn("_b", both)
+    return each.select(F.xxhash64("center", "_b.band").alias("cell"), "_b.band", "doc", "n", "_b.native")
+
+
+def _families(cells: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """u, v: documents and the smallest of their family in a cell."""
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("m"), F.bool_or("native").alias("natives")).filter("m > 1 and natives")
+    sizes = materialize(sizes, "cell-sizes")
+    blocks = F.ceil(F.col("m") / POINTS).cast("int")
+    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    rows = lookup(cells, sizes, ["cell"], "m").withColumn("blocks", blocks).withColumn("own", own)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("part", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
+    rows = rows.join(nodes.select("doc", "point"), "doc")
+
+    def make(rows: list) -> Iterator[pa.RecordBatch]:
+        groups = band_groups(rows[0][6], percent)
+        points = np.array([fold(np.frombuffer(r[4], "<u2").astype(np.int32), groups) for r in rows])
+        labels = possible(points, np.array([r[3] for r in rows]), np.array([r[5] for r in rows]), percent)
+        yield from _edges([r[2] for r in rows], labels)
+
+    placed = rows.repartition("cell", "part").sortWithinPartitions("cell", "part", "doc")
+    return _grouped(placed.select("cell", "part", "doc", "n", "point", "native", "band"), "u long, v long", make).distinct()
+
+
 def _placed(routed: DataFrame, sizes: DataFrame) -> DataFrame:
-    """cell, doc, part, parts: cells of more than CELL documents dealt out."""
+    """cell, head (its smallest doc), m, doc, part, parts: cells of more than
+    CELL documents are dealt out."""
     parts = F.ceil(F.col("m") / CELL).cast("int").alias("parts")
-    named = lookup(routed, sizes, ["cell"], "m").select("cell", "doc", "m", parts)
+    named = lookup(routed, sizes, ["cell"], "m").select("cell", "head", "doc", "m", parts)
     return named.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
 
 
-def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per input row."""
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+def _linked(base: DataFrame, words: int, percent: int) -> DataFrame:
+    """base (doc, text; doc tells rows apart) to doc, n, component."""
+    spark = base.sparkSession
     each = materialize(_described(base, words, percent, _frequent(base, words)), "sets")
     groups = each.filter("n > 0").groupBy("same").agg(F.min("doc").alias("node"), F.count("*").alias("copies"))
     groups = materialize(groups, "set-groups")
-    nodes = each.join(groups.select("same", F.col("node").alias("doc")), ["same", "doc"], "left_semi").dropDuplicates(["doc"])
-    keys = materialize(nodes.select("doc", F.explode("keys").alias("key")), "keys")
-    shared = keys.groupBy("key").agg(F.min("doc").alias("cell"), F.count("*").alias("n")).filter("n > 1")
+    # merge joins at every size: what is moved grows as the input does
+    chosen = groups.select(F.col("node").alias("doc")).hint("merge")
+    nodes = materialize(each.join(chosen, "doc", "left_semi").select("doc", "n", "point", "keys"), "nodes")
+    whole, each = each, materialize(each.select("doc", "n", "same"), "slim-sets")
+    discard(whole)
+    settle(spark)
+    keys = nodes.select("doc", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("doc").alias("center"), F.count("*").alias("n")).filter("n > 1")
     shared = materialize(shared, "shared-keys")
-    routed = materialize(lookup(keys, shared, ["key"], "n").select("cell", "doc").distinct(), "routed")
-    sizes = materialize(routed.groupBy("cell").agg(F.count("*").alias("m")), "cells")
+    routed = materialize(lookup(keys, shared, ["key"], "n").select("center", "doc").distinct(), "routed")
+    discard(shared)
+    settle(spark)
+    cells = materialize(_cells(routed, nodes, percent), "cells")
+    possible_links = materialize(_families(cells, nodes, percent), "families")
+    discard(routed, cells, nodes)
+    settle(spark)
+    routed = components(possible_links).select(F.col("label").alias("cell"), F.col("node").alias("doc"))
+    sizes = materialize(routed.groupBy("cell").agg(F.count("*").alias("m"), F.min("doc").alias("head")), "partner-sizes")
     placed = materialize(_placed(routed, sizes), "placed")
-    wanted = routed.select("doc").distinct()
-    texts = base.join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
-    naming = placed.filter("parts > 1 and cell = doc").select("cell", "doc", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    first = placed.select("cell", "doc", "part").unionByName(naming.select("cell", "doc", "part"))
-    links = materialize(_first_links(first.join(texts, "doc"), words, percent), "links")
+    texts = narrowed(base, placed.select("doc"), "doc")
+    heads = placed.filter("parts > 1 and head = doc").select("cell", "doc", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    first = placed.select("cell", "doc", "part").unionByName(heads.select("cell", "doc", "part"))
+    links = materialize(_first_links(first.hint("merge").join(texts, "doc"), words, percent), "links")
+    settle(spark)
     found = components(links)
     large = placed.filter("parts > 1")
     if large.limit(1).count():
         found = _compare_late(large, found, links, texts, words, percent)
-    labelled = groups.join(found.withColumnRenamed("label", "to"), groups["node"] == found["node"], "left").select("same", "copies", F.coalesce("to", groups["node"]).alias("component"))
-    labelled = materialize(labelled, "labelled")
-    back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    own = each.filter("n = 0").select(back("doc").alias("doc_id"), F.col("n").alias("n_shingles"), back("doc").alias("component_id"))
-    rest = lookup(each.filter("n > 0").select("doc", "n", "same"), labelled, ["same"], "copies")
-    return own.unionByName(rest.select(back("doc").alias("doc_id"), F.col("n").alias("n_shingles"), back("component").alias("component_id")))
+    named = groups.join(found.withColumnRenamed("label", "to"), groups["node"] == found["node"], "left").select("same", "copies", F.coalesce("to", groups["node"]).alias("component"))
+    rest = lookup(each.filter("n > 0").select("doc", "n", "same"), materialize(named, "labelled"), ["same"], "copies")
+    own = each.filter("n = 0").select("doc", "n", F.col("doc").alias("component"))
+    return own.unionByName(rest.select("doc", "n", "component"))
+
+
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per input row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if unique_ids(rows, "doc_id"):
+        found = _linked(rows.select(F.col("doc_id").alias("doc"), "text"), words, percent)
+        return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    rows = keyed(rows, "doc_id", "text")
+    found = _linked(rows.select(F.col("_key").alias("doc"), "text"), words, percent)
+    ids = rows.select(F.col("_key").alias("doc"), "doc_id")
+    names = rows.select(F.col("_key").alias("component"), F.col("doc_id").alias("component_id"))
+    return found.join(ids, "doc").join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def _compare_late(large: DataFrame, found: DataFrame, links: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Members of dealt cells outside the naming document's component, block by
-    block, with all members of another component."""
+    """Members of dealt cells outside the component of the smallest document,
+    block by block, with all members of another component."""
     labels = found.withColumnRenamed("node", "doc")
     members = large.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     members = materialize(members, "members")
-    main = materialize(members.filter("cell = doc").select("cell", F.col("label").alias("main"), "m"), "main")
+    main = materialize(members.filter("head = doc").select("cell", F.col("label").alias("main"), "m"), "main")
     late = lookup(members.drop("m"), main, ["cell"], "m").filter("label <> main")
     late = materialize(late.withColumn("block", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("parts")).cast("int")), "late")
     blocks = materialize(late.select("cell", "block").distinct(), "late-blocks")
@@ -312,6 +415,11 @@ def _compare_late(large: DataFrame, found: DataFrame, links: DataFrame, texts: D
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The smallest document of each component, all columns as they are."""
-    found = join(docs, words, percent, id_col, text_col)
-    kept = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("id")).distinct()
-    return only(docs, materialize(kept, "representatives"), id_col)
+    names = docs.columns
+    rows = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    key, text_col = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    if not unique_ids(rows, key):
+        rows, key = keyed(rows, key, text_col), "_key"
+    found = _linked(rows.select(F.col(key).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")), words, percent)
+    kept = materialize(found.filter("component = doc").select(F.col("doc").alias("id")), "representatives")
+    return only(rows, kept, key).drop("_key").toDF(*names)
