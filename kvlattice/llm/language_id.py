@@ -4,8 +4,8 @@ A text's subwords are the n-grams of 1 to 4 bytes of its lower-cased (A-Z)
 UTF-8 form, hashed into ``BUCKETS``. The mean of their embeddings goes through
 a linear layer and a softmax. Both layers are trained by stochastic gradient
 descent in numpy, on the driver, from at most ``PER_LANGUAGE`` documents of each
-language and at most ``MAX_ROWS`` in all: those with the smallest hash of their
-doc_id. Their features are made on the executors from whole texts. A fifth of
+of the ``LANGUAGES`` most frequent languages and at most ``MAX_ROWS`` in all: those
+with the smallest hash of their doc_id. Their features are made on the executors from whole texts. A fifth of
 the sample sets the softmax temperature and the score under which a prediction
 is rejected.
 
@@ -22,11 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS, DIM, ORDERS = 8192, 16, (1, 2, 3, 4)
-PER_LANGUAGE, MAX_ROWS = 500, 4000
+PER_LANGUAGE, MAX_ROWS, LANGUAGES = 500, 4000, 64
 EPOCHS, RATE, BATCH, SEED = 30, 20.0, 32, 7
 #: Share of correctly predicted calibration rows that rejection may cost, and
 #: the score above which nothing is rejected.
@@ -120,10 +120,18 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Trains on rows of ``docs`` for which ``usable`` holds."""
     rows = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("long")).alias("h"))
-    each = Window.partitionBy("lang").orderBy("h", "id")
-    picked = rows.withColumn("rank", F.row_number().over(each)).filter(F.col("rank") <= PER_LANGUAGE)
-    ids = sorted({r.id for r in picked.orderBy("rank", "lang").limit(MAX_ROWS).collect()})
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("long")).alias("h")).filter("id is not null")
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    if not sizes:
+        return train(np.zeros((0, BUCKETS)), [])
+    # a little more than is wanted of each language, by the place of the hash in its range
+    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 1.2 * PER_LANGUAGE / n))])
+    near = rows.filter(F.col("h") / float(1 << 64) + 0.5 <= F.element_at(shares, F.col("lang")))
+    ranked: dict[str, list[tuple[int, int]]] = {}
+    for r in near.collect():
+        ranked.setdefault(r.lang, []).append((r.h, r.id))
+    first = [(k, lang, i) for lang, found in ranked.items() for k, (_, i) in enumerate(sorted(found)[:PER_LANGUAGE])]
+    ids = sorted({i for _, _, i in sorted(first)[:MAX_ROWS]})
     if not ids:
         return train(np.zeros((0, BUCKETS)), [])
 
