@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from .memo import Memo, cut
 
 #: Distinct words and pieces that a worker keeps, for each of two generations.
-MEMO_WORDS, MEMO_PIECES = 200_000, 250_000
+MEMO_WORDS, MEMO_PIECES = 400_000, 400_000
 
 #: The patterns of the two vocabularies' pre-tokenizers.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
