@@ -12,6 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from kvlattice.llm import hf_words, language_id, license_scan, packing, prefix_bpe, token_stream
 from kvlattice.llm.common import documents, prepare
@@ -149,6 +150,32 @@ def test_words_are_the_library(name, tokenizers, text):
     assert np.frombuffer(tool.encode(text), "<u4").tolist() == tool.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@settings(max_examples=300, deadline=None)
+@given(parts=st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "endoftext|>", " ", "  ", "\n", "a", "É", "é", " b's", "7"]), max_size=12))
+def test_added_tokens_are_the_library(name, tokenizers, parts):
+    fresh, text = Tokenizer.from_file(tokenizers.path(name)), "".join(parts)
+    got = np.frombuffer(hf_words.encoder(tokenizers.path(name)).encode(text), "<u4").tolist()
+    assert got == fresh.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_in_rows(spark, tokenizers):
+    """Counts and sums of both operators, and in op7 the start of the next document."""
+    texts = ["a <|endoftext|> b", "<|startoftext|>x  <|endoftext|><|endoftext|>", "next"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prepare(spark)
+    for name, run, end in (
+        ("byte_bpe_50k.json", lambda p: [tuple(r) for r in token_stream.read_documents(token_stream.write_stream(docs, p), spark).select("doc_id", "start", "n_tokens", "ids_crc32").collect()], 0),
+        ("word_bpe_49k.json", lambda p: [tuple(r) for r in packing.pack(docs, p).select("doc_id", "start", "doc_tokens", "ids_crc32").collect()], 1),
+    ):
+        fresh, want, start = Tokenizer.from_file(tokenizers.path(name)), [], 0
+        for i, text in enumerate(texts):
+            ids = [*fresh.encode(text, add_special_tokens=False).ids, end]
+            want.append((i, 0 if end else start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+            start += len(ids)
+        assert sorted(run(tokenizers.path(name))) == want
+
+
 # ---- token files
 
 
