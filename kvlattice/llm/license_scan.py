@@ -2,7 +2,7 @@
 
 A text becomes its words (A-Z lower-cased; runs of digits, letters and all
 characters beyond ASCII) with one space between. A rule is a regex over these
-words with a label, a keyword and a priority. One pass of an Aho-Corasick
+words with a label, keywords and a priority. One pass of an Aho-Corasick
 automaton finds which keywords occur, so a rule's regex runs only on texts that
 can match it. Detections are taken in the order of priority, then length, then
 start; one whose interval lies inside that of a detection taken before is
@@ -36,27 +36,27 @@ BASE = {
 }
 
 V = r"(?: version| v)?"
-# Label, keyword that any match holds, regex of the license's name.
+# Label, keywords of which any match holds one, regex of the license's name.
 NAMES = [
     ("mit", "mit", r"(?:x11 )?mit"),
     ("mit-0", "attribution", r"mit no attribution"),
     ("apache-1.1", "apache", rf"apache(?: software)?(?: license)?{V} 1 1"),
     ("apache-2", "apache", rf"apache(?: software)?(?: license)?{V} 2(?: 0)?"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
+    ("bsd-2-clause", "bsd|freebsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)"),
     ("bsd-0", "0bsd", r"(?:zero clause )?0bsd"),
-    ("gpl-2", "gpl", rf"(?:gnu )?gpl{V} ?2(?: 0)?(?: only| or later)?"),
-    ("gpl-3", "gpl", rf"(?:gnu )?gpl{V} ?3(?: 0)?(?: only| or later)?"),
+    ("gpl-2", "gpl|gpl2", rf"(?:gnu )?gpl{V} ?2(?: 0)?(?: only| or later)?"),
+    ("gpl-3", "gpl|gpl3", rf"(?:gnu )?gpl{V} ?3(?: 0)?(?: only| or later)?"),
     ("gpl-2", "general", rf"gnu general public license{V} 2(?: 0)?"),
     ("gpl-3", "general", rf"gnu general public license{V} 3(?: 0)?"),
     ("gpl", "general", r"gnu general public"),
-    ("lgpl-2.1", "lgpl", rf"(?:gnu )?lgpl{V} ?2 1"),
-    ("lgpl-3", "lgpl", rf"(?:gnu )?lgpl{V} ?3(?: 0)?"),
+    ("lgpl-2.1", "lgpl|lgpl2", rf"(?:gnu )?lgpl{V} ?2 1"),
+    ("lgpl-3", "lgpl|lgpl3", rf"(?:gnu )?lgpl{V} ?3(?: 0)?"),
     ("lgpl-2.1", "lesser", rf"gnu lesser general public license{V} 2 1"),
     ("lgpl-3", "lesser", rf"gnu lesser general public license{V} 3(?: 0)?"),
-    ("lgpl", "lesser", r"gnu (?:lesser|library) general public"),
-    ("agpl-3", "agpl", rf"(?:gnu )?agpl{V} ?3(?: 0)?"),
+    ("lgpl", "lesser|library", r"gnu (?:lesser|library) general public"),
+    ("agpl-3", "agpl|agpl3", rf"(?:gnu )?agpl{V} ?3(?: 0)?"),
     ("agpl-3", "affero", rf"gnu affero general public(?: license{V} 3(?: 0)?)?"),
     ("mpl-1.1", "mozilla", rf"mozilla public(?: license)?{V} 1 1"),
     ("mpl-2", "mozilla", rf"mozilla public(?: license)?{V} 2(?: 0)?"),
@@ -200,17 +200,21 @@ class Scanner:
         self.keys = ahocorasick.Automaton()
         by_key: dict[str, list[int]] = {}
         for k, rule in enumerate(self.rules):
-            by_key.setdefault(rule.keyword if rule.base else f" {rule.keyword} ", []).append(k)
+            for key in [rule.keyword] if rule.base else [f" {x} " for x in rule.keyword.split("|")]:
+                by_key.setdefault(key, []).append(k)
         for key, ids in by_key.items():
             self.keys.add_word(key, ids)
         self.keys.make_automaton()
 
+    def gated(self, words: str) -> list[int]:
+        """The rules that can match, in order."""
+        return sorted({k for _, ids in self.keys.iter(words) for k in ids})
+
     def scan(self, text: str) -> dict:
         words, n = normalise(text)
         found, places, base = [], [], set()
-        gated = {id(ids): ids for _, ids in self.keys.iter(words)} if n else {}
         spaces: list[int] = []
-        for k in sorted(k for ids in gated.values() for k in ids):
+        for k in self.gated(words) if n else []:
             rule = self.rules[k]
             for m in rule.regex.finditer(words):
                 if rule.base:

@@ -64,6 +64,44 @@ def test_license_rules():
         assert labels(clean) == "", clean
 
 
+def alternatives(pattern):
+    """All strings of a regex without repetition beyond optional parts."""
+    from re import _parser
+
+    def walk(items):
+        out = [""]
+        for op, arg in items:
+            kind = str(op)
+            if kind == "LITERAL":
+                some = [chr(arg)]
+            elif kind == "IN":
+                some = [chr(x) for _, x in arg]
+            elif kind == "BRANCH":
+                some = [x for branch in arg[1] for x in walk(branch)]
+            elif kind == "SUBPATTERN":
+                some = walk(arg[3])
+            else:
+                assert kind == "MAX_REPEAT" and tuple(arg[:2]) == (0, 1), kind
+                some = ["", *walk(arg[2])]
+            out = [a + b for a in out for b in some]
+        return out
+
+    return walk(_parser.parse(pattern))
+
+
+def test_license_gate_loses_no_rule():
+    scan = license_scan.Scanner()
+    labels = lambda t: scan.scan(t)["labels"]
+    assert labels("Released under the FreeBSD license") == "bsd-2-clause"
+    assert labels("licensed under GPL2") == "gpl-2" and labels("licensed under the LGPL3") == "lgpl-3" and labels("licensed under AGPL3") == "agpl-3"
+    names = [x for *_, name in license_scan.NAMES for x in alternatives(name)] + [x for *_, text in license_scan.TEXTS for x in alternatives(text)]
+    assert len(names) > 200
+    for name in names:
+        for words in (f" licensed under {name} license ", f" {name} "):
+            gated = set(scan.gated(words))
+            assert all(k in gated for k, rule in enumerate(scan.rules) if rule.regex.search(words)), words
+
+
 def test_license_suppression():
     rule = lambda label, p: license_scan.Rule(label, "k", p, 0.5, re.compile("k"))
     a, b, c = rule("a", 5), rule("b", 4), rule("c", 5)
