@@ -196,6 +196,30 @@ def _(spark, d):
     return merge.merge(tables).select(*COLUMNS, "src")
 
 
+# the same over whole tables: no limit, ranges that meet, and every row in the last input at least
+@query("kv_concat_whole", f"WITH {LOG} SELECT user_key, version, value FROM log")
+def _(spark, d):
+    log = events_log(spark, d)
+    return merge.concat([log.filter("user_key < 'user:00005'"), log.filter("user_key >= 'user:00005'")]).select(*COLUMNS)
+
+
+@query("kv_merge_reverse_whole", _TWO + " ORDER BY user_key DESC, version")
+def _(spark, d):
+    return merge.merge(list(_halves(spark, d))).select(*COLUMNS, "src").orderBy(*canonical(True))
+
+
+@query(
+    "kv_merge_k_whole",
+    f"""WITH {LOG}, u AS (SELECT user_key, version, value || '-' || i AS value, i AS src FROM log, range(5) AS t(i) WHERE i = 4 OR seq % (i + 2) = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_key, version ORDER BY src) AS n FROM u)
+SELECT user_key, version, value, CAST(src AS INTEGER) AS src FROM r WHERE n = 1""",
+)
+def _(spark, d):
+    log = events_log(spark, d)
+    tables = [log.filter(f"{i} = 4 OR seq % {i + 2} = 0").withColumn("value", F.concat("value", F.lit(f"-{i}"))) for i in range(5)]
+    return merge.merge(tables).select(*COLUMNS, "src")
+
+
 @query("kv_l0_get", f"WITH {LOG} SELECT user_key, version, value, table_id FROM log WHERE user_key = '{KEY}' AND version <= {AT} ORDER BY version DESC, table_id DESC LIMIT 1")
 def _(spark, d):
     return merge.level_zero_get(events_log(spark, d), KEY, AT).select(*COLUMNS, "table_id")
@@ -605,6 +629,33 @@ def _(spark, d):
     return registry.upsert(keys, keys.filter("key_id <= 5").withColumn("data", F.lit("new"))).select("key_id", "data")
 
 
+# the same with a key for each customer; rows name known keys, unknown ones and none
+ALL_KEYS = "keys AS (SELECT c_custkey AS key_id, c_custkey * 3600 AS created_at FROM customer)"
+NAMED_KEY = "CASE WHEN o_orderkey % 7 = 0 THEN 0 WHEN o_orderkey % 11 = 0 THEN -o_custkey ELSE o_custkey END"
+
+
+def _all_keys(spark, d):
+    k = F.col("c_custkey")
+    return read(spark, d, "customer").select(k.alias("key_id"), F.concat(F.lit("key-"), k.cast("string")).alias("data"), (k * 3600).alias("created_at"))
+
+
+@query("registry_latest_whole", f"WITH {ALL_KEYS} SELECT key_id, created_at, 200000 - created_at < 86400 AS valid FROM keys ORDER BY created_at DESC, key_id DESC LIMIT 1")
+def _(spark, d):
+    return registry.latest(_all_keys(spark, d), 200_000, 86_400)
+
+
+@query("registry_lookup_whole", f"WITH {ALL_KEYS}, o AS (SELECT o_orderkey, {NAMED_KEY} AS key_id FROM orders) SELECT o_orderkey, o.key_id, 'key-' || keys.key_id AS key_data, o.key_id <> 0 AND keys.key_id IS NULL AS \"unknown\" FROM o LEFT JOIN keys USING (key_id)")
+def _(spark, d):
+    rows = read(spark, d, "orders").select("o_orderkey", F.expr(NAMED_KEY).alias("key_id"))
+    return registry.with_data_key(rows, _all_keys(spark, d))
+
+
+@query("registry_upsert_whole", f"WITH {ALL_KEYS} SELECT key_id, CASE WHEN key_id % 5 = 0 THEN 'new' ELSE 'key-' || key_id END AS data FROM keys")
+def _(spark, d):
+    keys = _all_keys(spark, d)
+    return registry.upsert(keys, keys.filter("key_id % 5 = 0").withColumn("data", F.lit("new"))).select("key_id", "data")
+
+
 # ---- predicates and marks
 
 
