@@ -429,10 +429,12 @@ def _(spark, d):
 
 @query("vlog_gc_candidates", f"WITH {DISCARDS}, b AS (SELECT * FROM stats ORDER BY discard DESC, fid LIMIT 1) SELECT fid FROM b WHERE discard > 0 AND discard >= 0.3 * 1000 AND fid < 149")
 def _(spark, d):
-    stats = gc.discard_stats(_updates(spark, d))
-    sizes = stats.select("fid", F.lit(1000).alias("size"))
-    ratios = gc.discard_ratio(gc.discard_flags(*_entries(spark, d), NOW))
-    return gc.pick_log(stats, sizes, ratios, max_fid=149, next_fid=0, ratio=0.3)
+    updates = _updates(spark, d)
+    entries, current = (x.withColumn("fid", F.substring("user_key", 6, 20).cast("long")) for x in _entries(spark, d))  # the files of the updates
+    sizes = entries.groupBy("fid").agg((F.sum(vlog.record_size()) + vlog.FILE_HEADER).alias("size"))
+    ratios = gc.discard_ratio(gc.discard_flags(entries, current, NOW))
+    newest = updates.agg(F.max("fid")).first()[0] or 0
+    return gc.pick_log(gc.discard_stats(updates), sizes, ratios, max_fid=newest, next_fid=0, ratio=0.3)
 
 
 @query("ttl_live", f"WITH {LOG} SELECT user_key, version FROM log WHERE {VISIBLE}")

@@ -332,6 +332,16 @@ def test_streams(spark, tmp_path):
     assert published == [32]
 
 
+@pytest.mark.parametrize("best, value, want", [(200, 1000.0, [200]), (300, 1000.0, []), (200, 0.5, [])])
+def test_gc_candidate_follows_the_table(spark, tmp_path, best, value, want):
+    """Only the newest file of the table is excluded; sizes are the files' own."""
+    from kvlattice.plans import catalogue
+
+    events = [(i, user, "click", v, "props-of-it") for i, (user, v) in enumerate([(best, value), (best, 0.0), (7, 0.2), (300, 0.0)])]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert [r.fid for r in catalogue.queries()["vlog_gc_candidates"](spark, str(tmp_path)).collect()] == want
+
+
 def test_whole_tables(spark):
     """No row of a table stays out of the whole queries; they equal their SQL."""
     duckdb = pytest.importorskip("duckdb")
