@@ -7,6 +7,9 @@ next is one row for each range (at most RANGES + 1, so it is broadcast).
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,3 +61,21 @@ def neighbours(df: DataFrame, key: str, order: list[Column], backwards: list[Col
     for side, inner, outer in (("prev", "_prev", "_before"), ("next", "_next", "_after")):
         out = out.withColumns({f"{side}_{c}": F.coalesce(F.col(inner), F.col(outer))[c] for c in columns})
     return out.drop("_range", "_prev", "_next", "_before", "_after")
+
+
+def ordered_fold(df: DataFrame, by: str, order: list[Column], reads: list[str], make: Callable[[], Callable[..., tuple]], adds: dict[str, str]) -> DataFrame:
+    """Adds the columns ``adds`` (long) that ``make()``, called once for each
+    partition, gives for (by, *reads) of each row in order. A value of ``by`` is
+    one ordered scan in one task, which keeps a state of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make()
+        for batch in batches:
+            new = [step(*row) for row in zip(*[batch.column(c).to_pylist() for c in (by, *reads)], strict=True)]
+            more = [pa.array([x[i] for x in new], pa.int64()) for i in range(len(adds))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *adds])
+
+    schema = df.schema
+    for name, kind in adds.items():
+        schema = schema.add(name, kind)
+    return df.repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, schema)

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codecs_sql import varint_size
-from ..model import FIN_TXN, TXN, VALUE_POINTER
-from .ordering import running_sum
+from ..model import FIN_TXN, TXN, VALUE_POINTER, canonical
+from .ordering import ordered_fold, running_sum
 
 #: Bytes of a log file's header, of a checksum, of a pointer.
 FILE_HEADER, CHECKSUM, POINTER = 20, 4, 12
+#: The largest offset a pointer can hold.
+MAX_OFFSET = (1 << 32) - 1
 
 
 def header_size() -> Column:
@@ -43,11 +45,78 @@ def split_values(log: DataFrame, threshold: int) -> DataFrame:
 
 def rotate(log: DataFrame, file_size: int) -> DataFrame:
     """The file and offset of each record when a new file starts at every
-    ``file_size`` bytes of the running total."""
+    ``file_size`` bytes of the running total: an approximation of
+    ``rotate_requests``."""
     placed = running_sum(log.withColumn("_size", record_size().cast("long")), "seq", [F.col("seq")], F.col("_size"), "_at")
     return placed.withColumn("new_fid", F.floor(F.col("_at") / file_size)).withColumn("new_offset", F.col("_at") % file_size + FILE_HEADER).drop("_size", "_at")
 
 
+def rotate_requests(log: DataFrame, file_size: int, threshold: int, max_entries: int = 1_000_000) -> DataFrame:
+    """Adds new_fid and new_offset of the values that move to the value log, null
+    where they stay in line. Each ``fid`` is a log of its own whose requests
+    (``request``, in the order of ``seq``) are written whole: a new file starts
+    behind the one that passes file_size or max_entries. Requests whose largest
+    size passes MAX_OFFSET fail the run, as in the store's check before a write."""
+
+    def make():
+        log = request = None
+        file = at = written = checked = asked = 0
+
+        def validate() -> None:
+            nonlocal checked, asked
+            checked, asked = checked + asked, 0
+            if checked > MAX_OFFSET:
+                raise ValueError(f"a request of log {log} ends at {checked}, beyond {MAX_OFFSET}")
+            if checked >= file_size:
+                checked = 0
+
+        def step(fid, req, size, asks):
+            nonlocal log, request, file, at, written, checked, asked
+            if fid != log:
+                log, file, at, written, checked, asked = fid, 0, FILE_HEADER, 0, FILE_HEADER, 0
+            elif req != request:
+                validate()
+                if at > file_size or written > max_entries:
+                    file, at, written = file + 1, FILE_HEADER, 0
+            request, asked = req, asked + asks
+            if checked + asked > MAX_OFFSET:
+                validate()
+            if size is None:
+                return None, None
+            here, at, written = at, at + size, written + 1
+            return file, here
+
+        return step
+
+    v = F.octet_length("value")
+    rows = log.withColumns({"_size": F.when(v >= threshold, record_size()).cast("long"), "_asks": (F.octet_length("user_key") + v + 25).cast("long")})
+    return ordered_fold(rows, "fid", [F.col("seq")], ["request", "_size", "_asks"], make, {"new_fid": "long", "new_offset": "long"}).drop("_size", "_asks")
+
+
+def cut_tables(log: DataFrame, table_size: int) -> DataFrame:
+    """Adds the output file of each entry of a table: a file ends behind the entry
+    with which its keys and values pass 0.95 * table_size. What a block adds to
+    them is not counted."""
+    capacity = int(table_size * 0.95)
+
+    def make():
+        table, file, total = None, 0, 0
+
+        def step(table_id, size):
+            nonlocal table, file, total
+            if table_id != table:
+                table, file, total = table_id, 0, 0
+            elif total > capacity:
+                file, total = file + 1, 0
+            total += size
+            return (file,)
+
+        return step
+
+    rows = log.withColumn("_size", (F.octet_length("user_key") + F.octet_length("value")).cast("long"))
+    return ordered_fold(rows, "table_id", [*canonical(), F.col("seq")], ["_size"], make, {"file": "long"}).drop("_size")
+
+
 def read_pointers(pointers: DataFrame, values: DataFrame) -> DataFrame:
     """pointers (fid, offset, len) to their records; lengths must agree."""
     return pointers.join(values.withColumnRenamed("len", "_len"), ["fid", "offset"]).filter(F.col("len") == F.col("_len")).drop("_len")

@@ -348,6 +348,12 @@ def _(spark, d):
     return vlog.rotate(events_log(spark, d), 4096).select("seq", "new_fid", "new_offset")
 
 
+@query("vlog_rotate_fold")
+def _(spark, d):
+    log = events_log(spark, d).withColumn("request", F.floor(F.col("seq") / 5))
+    return vlog.rotate_requests(log, 4096, 9).select("fid", "seq", "new_fid", "new_offset")
+
+
 @query("entry_estimated_size", f"WITH {LOG} SELECT seq, strlen(user_key) + CASE WHEN strlen(value) < 9 THEN strlen(value) + 2 ELSE 14 END AS size FROM log")
 def _(spark, d):
     return events_log(spark, d).select("seq", vlog.estimated_size(9).alias("size"))
@@ -693,6 +699,11 @@ def _(spark, d):
     return events_log(spark, d).withColumn("file", F.floor(at / int(4096 * 0.95))).groupBy("table_id", "file").agg(F.count("*").alias("n"))
 
 
+@query("table_cut_fold")
+def _(spark, d):
+    return vlog.cut_tables(events_log(spark, d), 4096).groupBy("table_id", "file").agg(F.count("*").alias("n"))
+
+
 @query("get_over_sources", f"""WITH {LOG}, u AS (SELECT user_key, version, value, 0 AS src FROM log WHERE seq % 5 = 0 UNION ALL SELECT user_key, version, 'old ' || value, 1 FROM log),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY version DESC, src) AS n FROM u WHERE version <= {AT}) SELECT user_key, version, value FROM r WHERE n = 1""")
 def _(spark, d):

@@ -332,6 +332,42 @@ def test_streams(spark, tmp_path):
     assert published == [32]
 
 
+def test_rotation_is_the_fold(spark, monkeypatch):
+    """A file starts at 20 behind the request that passes the size; values below
+    the threshold are not written."""
+    rng = random.Random(3)
+    data = [(i, f"k{rng.randint(1, 99)}", "v" * rng.choice([2, 8, 9, 30, 200])) for i in range(600)]
+    log = rows(spark, [(k, i, v) for i, k, v in data]).withColumn("fid", F.floor(F.col("seq") / 200)).withColumn("request", F.floor(F.col("seq") / 3))
+    want = {}
+    for fid in range(3):
+        file, at = 0, 20
+        for req in sorted({i // 3 for i in range(600) if i // 200 == fid}):
+            for i, k, v in data[3 * req : 3 * req + 3]:
+                if i // 200 == fid:
+                    size = 2 + 1 + (1 if len(v) < 128 else 2) + 1 + len(k) + 8 + len(v) + 4
+                    want[i] = (file, at) if len(v) >= 9 else (None, None)
+                    at += size if len(v) >= 9 else 0
+            if at > 1000:
+                file, at = file + 1, 20
+    got = {r.seq: (r.new_fid, r.new_offset) for r in vlog.rotate_requests(log, 1000, 9).collect()}
+    assert got == want and {at for f, at in want.values() if f} >= {20}
+    assert max(r.new_fid or 0 for r in vlog.rotate_requests(log, 1 << 30, 9, max_entries=4).collect()) > 10
+    with pytest.raises(Exception, match="beyond"):
+        monkeypatch.setattr(vlog, "MAX_OFFSET", 100_000)
+        vlog.rotate_requests(log.withColumn("request", F.lit(0)).withColumn("value", F.expr("repeat('x', 1000)")).limit(200), 1 << 33, 1 << 30).select("seq").collect()
+
+
+def test_table_cut_is_the_fold(spark):
+    data = [(f"k{i:04d}", 1, "v" * (i % 37)) for i in range(500)]
+    files, file, total = {}, 0, 0
+    for k, _, v in data:
+        if total > 950:
+            file, total = file + 1, 0
+        total += len(k) + len(v)
+        files[k] = file
+    assert {r.user_key: r.file for r in vlog.cut_tables(rows(spark, data), 1000).collect()} == files
+
+
 @pytest.mark.parametrize("best, value, want", [(200, 1000.0, [200]), (300, 1000.0, []), (200, 0.5, [])])
 def test_gc_candidate_follows_the_table(spark, tmp_path, best, value, want):
     """Only the newest file of the table is excluded; sizes are the files' own."""
