@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import canonical, dead
-from .ordering import neighbours
+from .ordering import carry, neighbours, row_number
 
 
 def scan(log: DataFrame, reverse: bool = False) -> DataFrame:
@@ -36,11 +36,16 @@ def latest_visible(log: DataFrame, now: int, read_version: int | None = None) ->
 
 
 def get_at(log: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests (user_key, at): for each, the newest version <= at of its key."""
-    found = requests.join(log, "user_key").filter(F.col("version") <= F.col("at"))
+    """requests (user_key, at): for each different one, the newest version <= at
+    of its key; of equal versions the one written last. Requests are sorted among
+    the versions and each takes the row before it, so a key with many versions
+    and many requests costs their sum, not their product."""
     rest = [c for c in log.columns if c != "user_key"]
-    best = found.groupBy("user_key", "at").agg(F.max_by(F.struct(*rest), F.col("version")).alias("_row"))
-    return best.select("user_key", "at", *[F.col(f"_row.{c}").alias(c) for c in rest])
+    rows = log.select("user_key", F.col("version").alias("at"), F.lit(0).alias("_side"), "seq", F.struct("user_key", *rest).alias("_hit"))
+    asked = requests.select("user_key", "at").distinct().withColumns({"_side": F.lit(1), "seq": F.lit(None).cast("long"), "_hit": F.lit(None).cast(rows.schema["_hit"].dataType)})
+    found = carry(rows.unionByName(asked), [F.col(c) for c in ("user_key", "at", "_side", "seq")], F.col("_hit"), "_found")
+    found = found.filter((F.col("_side") == 1) & (F.col("_found.user_key") == F.col("user_key")))
+    return found.select("user_key", "at", *[F.col(f"_found.{c}").alias(c) for c in rest])
 
 
 def versions_of(log: DataFrame, key: str) -> DataFrame:
@@ -52,6 +57,12 @@ def since(log: DataFrame, version: int) -> DataFrame:
     return log.filter(F.col("version") > version)
 
 
+def scan_until(log: DataFrame, stop) -> DataFrame:
+    """Each file's rows up to the first for which ``stop`` holds, and that one."""
+    ends = log.filter(stop).groupBy("fid").agg(F.min("seq").alias("_stop"))
+    return log.join(ends, "fid", "left").filter(F.col("_stop").isNull() | (F.col("seq") <= F.col("_stop"))).drop("_stop")
+
+
 def prefix_end(prefix: str) -> str | None:
     """The smallest string above all that start with ``prefix``."""
     for i in range(len(prefix) - 1, -1, -1):
@@ -80,38 +91,51 @@ def suffix_filter(log: DataFrame, suffix: str) -> DataFrame:
 MODES = {"ge": False, "gt": False, "le": True, "lt": True}
 
 
+#: Up to so many probes each are an aggregate of one scan.
+FEW = 64
+
+
 def seek(log: DataFrame, probes: DataFrame, mode: str) -> DataFrame:
     """probes (probe): for each, the first row of keys >= or > it, or the last
     row of keys <= or < it, in the order E; probes without one give no row.
 
-    Keys and probes are sorted together by range and the answer carried along
-    with a window, so probes don't meet all keys."""
-    from_above = MODES[mode]
-    firsts = log.groupBy("user_key").agg((F.min_by if from_above else F.max_by)(F.struct("version", "value"), F.col("version")).alias("_row"))
-    keys = firsts.select("user_key", "_row", F.lit(None).cast("string").alias("probe"))
-    # at equal keys the probe stands where equality counts or not
-    before = {"ge": 0, "gt": 2, "le": 2, "lt": 0}[mode]
-    asked = probes.select(F.col("probe").alias("user_key"), F.lit(None).cast(firsts.schema["_row"].dataType).alias("_row"), "probe").withColumn("_side", F.lit(before))
-    both = keys.withColumn("_side", F.lit(1)).unionByName(asked)
-    return _carry(both, from_above).filter(F.col("probe").isNotNull() & F.col("_hit").isNotNull()).select("probe", F.col("_hit.user_key").alias("user_key"), F.col("_hit._row.version").alias("version"), F.col("_hit._row.value").alias("value"))
+    A few probes are answered by one scan that moves a row for each task. Many
+    are sorted together with the keys, and the answer is carried along, so
+    probes don't meet all keys in either case."""
+    some = [r.probe for r in probes.select("probe").distinct().limit(FEW + 1).collect()]
+    return _seek_few(log, probes, some, mode) if len(some) <= FEW else _seek_many(log, probes, mode)
 
 
-def _carry(both: DataFrame, from_above: bool) -> DataFrame:
-    from .ordering import with_range
+def _seek_few(log: DataFrame, probes: DataFrame, some: list[str], mode: str) -> DataFrame:
+    if not some:
+        return probes.join(log.limit(0).select("user_key", "version", "value"))  # no probes, no rows
+    key = F.col("user_key")
+    test = {"ge": key.__ge__, "gt": key.__gt__, "le": key.__le__, "lt": key.__lt__}[mode]
+    row, at = F.struct("user_key", "version", "value"), F.struct("user_key", (-F.col("version")).alias("v"), *[c for c in ("seq",) if c in log.columns])
+    best = F.max_by if MODES[mode] else F.min_by
+    found = log.agg(*[best(row, F.when(test(F.lit(p)), at)).alias(f"_{i}") for i, p in enumerate(some)])
+    each = found.select(F.explode(F.array(*[F.struct(F.lit(p).alias("probe"), F.col(f"_{i}").alias("hit")) for i, p in enumerate(some)])).alias("r"))
+    hits = each.select("r.probe", "r.hit.*").filter("user_key is not null")
+    return probes.select("probe").join(F.broadcast(hits), "probe")  # FEW rows at most
 
-    ranged = with_range(both, "user_key")
-    hit = F.when(F.col("probe").isNull(), F.struct("user_key", "_row"))
-    order = [F.desc("user_key"), F.desc("_side")] if not from_above else [F.col("user_key"), F.col("_side")]
-    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.withColumn("_own", F.last(hit, ignorenulls=True).over(own))
-    edge = (F.max_by if from_above else F.min_by)(F.struct("user_key", "_row"), F.col("user_key"))
-    ends = ranged.filter(F.col("probe").isNull()).groupBy("_range").agg(edge.alias("_edge"))
-    every = ranged.select("_range").distinct().join(ends, "_range", "left")
-    by = Window.orderBy(F.col("_range") if from_above else F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    every = every.select("_range", F.last("_edge", ignorenulls=True).over(by).alias("_before"))  # RANGES + 2 rows
-    return out.join(F.broadcast(every), "_range").withColumn("_hit", F.coalesce("_own", "_before"))
+
+def _seek_many(log: DataFrame, probes: DataFrame, mode: str) -> DataFrame:
+    from_above = MODES[mode]
+    firsts = log.groupBy("user_key").agg((F.min_by if from_above else F.max_by)(F.struct("version", "value"), F.col("version")).alias("_row"))
+    keys = firsts.select("user_key", F.struct("user_key", "_row").alias("_hit"), F.lit(None).cast("string").alias("probe"), F.lit(1).alias("_side"))
+    # at equal keys the probe stands where equality counts or not
+    side = F.lit({"ge": 0, "gt": 2, "le": 2, "lt": 0}[mode])
+    asked = probes.select(F.col("probe").alias("user_key"), F.lit(None).cast(keys.schema["_hit"].dataType).alias("_hit"), "probe", side.alias("_side"))
+    order = [F.col("user_key"), F.col("_side")] if from_above else [F.desc("user_key"), F.desc("_side")]
+    found = carry(keys.unionByName(asked), order, F.col("_hit"), "_found").filter(F.col("probe").isNotNull() & F.col("_found").isNotNull())
+    return found.select("probe", F.col("_found.user_key").alias("user_key"), F.col("_found._row.version").alias("version"), F.col("_found._row.value").alias("value"))
 
 
 def next_prev(log: DataFrame) -> DataFrame:
     """Each row with its neighbours in the order E."""
-    return neighbours(log, "user_key", [*canonical(), F.col("seq")], [*canonical(True), F.desc("seq")], ["user_key", "version"])
+    return neighbours(log, [*canonical(), F.col("seq")], ["user_key", "version"])
+
+
+def number(log: DataFrame, name: str = "position") -> DataFrame:
+    """Each row with its place in the order E, from 1."""
+    return row_number(log, [*canonical(), F.col("seq")], name)
