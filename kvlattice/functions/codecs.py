@@ -1,4 +1,4 @@
-"""Byte-exact codecs, as plain functions and as vectorised UDFs.
+"""Byte-exact codecs as plain functions, and filters of tables.
 
 Variable-length integers have seven bits a byte, the lowest first; other
 integers are big-endian, but for the lengths in a block's entry header."""
@@ -10,9 +10,13 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .codecs_sql import FACTOR, SEED
+from .codecs_sql import bloom_hash as hash_column
+
 
 def put_uvarint(x: int) -> bytes:
     out = bytearray()
@@ -70,6 +74,10 @@ def encode_entry_header(overlap: int, diff: int) -> bytes:
     return struct.pack("<HH", overlap, diff)
 
 
+def decode_entry_header(data: bytes) -> tuple[int, int]:
+    return struct.unpack("<HH", data[:4])
+
+
 def encode_key(key: bytes, version: int) -> bytes:
     return key + struct.pack(">Q", (1 << 64) - 1 - version)
 
@@ -102,9 +110,6 @@ def decode_record(data: bytes, at: int) -> tuple[dict, int] | None:
     return row, end + 4 - at
 
 
-# Seed and multiplier of the filter's hash.
-SEED, FACTOR = 0xBC9F1D34, 0xC6A4A793
-
 
 def bloom_hash(key: bytes) -> int:
     word, h = 0xFFFFFFFF, SEED ^ (FACTOR * len(key)) & 0xFFFFFFFF
@@ -141,14 +146,11 @@ def may_contain(bloom: bytes, hashes: np.ndarray) -> np.ndarray:
     return flags[_probes(hashes, bloom[-1], len(flags))].all(axis=1)
 
 
-@F.pandas_udf(T.LongType())
-def bloom_hash_udf(keys: pd.Series) -> pd.Series:
-    return keys.map(lambda k: None if k is None else bloom_hash(k if isinstance(k, bytes) else bytes(k) if isinstance(k, bytearray) else k.encode()))
-
-
 def table_filters(log, bits_per_key: int = 10):
-    """table_id, bloom: a filter over each table's distinct keys."""
-    keys = log.select("table_id", bloom_hash_udf("user_key").alias("h")).distinct()
+    """table_id, bloom: a filter over each table's distinct keys. Keys are hashed
+    by Spark's functions; a table, which is bounded in size, sends its hashes to
+    one task."""
+    keys = log.select("table_id", hash_column(F.col("user_key")).alias("h")).distinct()
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"table_id": rows["table_id"].iloc[:1], "bloom": [bloom_filter(rows["h"].to_numpy(), bits_per_key)]})
@@ -156,16 +158,31 @@ def table_filters(log, bits_per_key: int = 10):
     return keys.groupBy("table_id").applyInPandas(build, "table_id long, bloom binary")
 
 
-def probe_filters(filters, keys):
-    """table_id, user_key, may for each filter and probe (a small table each)."""
-    probes = keys.withColumn("h", bloom_hash_udf("user_key")).groupBy().agg(F.collect_list(F.struct("user_key", "h")).alias("probes"))
+def probe_filters(filters, pairs):
+    """Adds to pairs (table_id, user_key, ...) whether their table may hold the
+    key; without a filter it may. Sorted by table, the filter first, so a task
+    holds one filter at a time, whatever the number of probes."""
+    rest = [c for c in pairs.columns if c != "table_id"]
+    asked = pairs.select("table_id", F.lit(1).alias("_kind"), F.lit(None).cast("binary").alias("_bloom"), hash_column(F.col("user_key")).alias("_h"), F.struct(*rest).alias("_row"))
+    held = filters.select("table_id", F.lit(0).alias("_kind"), F.col("bloom").alias("_bloom"), F.lit(None).cast("long").alias("_h"), F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in asked.schema.fields] + [T.StructField("may", T.BooleanType())])
 
     def run(batches):
-        for b in batches:
-            out = []
-            for t, bloom, probes in zip(b["table_id"], b["bloom"], b["probes"], strict=True):
-                may = may_contain(bytes(bloom), np.array([p["h"] for p in probes], np.uint64))
-                out += [(t, p["user_key"], bool(m)) for p, m in zip(probes, may, strict=True)]
-            yield pd.DataFrame(out, columns=["table_id", "user_key", "may"])
-
-    return filters.join(F.broadcast(probes)).mapInPandas(run, "table_id long, user_key string, may boolean")  # one row
+        now, bloom = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tables, kinds = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            hashes, may = batch.column(3).fill_null(0).to_numpy(zero_copy_only=False), np.ones(batch.num_rows, bool)
+            edges = np.flatnonzero(np.concatenate(([True], (tables[1:] != tables[:-1]) | (kinds[1:] != kinds[:-1]), [True])))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if tables[a] != now:
+                    now, bloom = tables[a], None
+                if kinds[a] == 0:
+                    bloom = batch.column(2)[int(a)].as_py()
+                elif bloom is not None:
+                    may[a:b] = may_contain(bloom, hashes[a:b])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(may)], [*batch.schema.names, "may"])
+
+    both = held.unionByName(asked).repartition("table_id").sortWithinPartitions("table_id", "_kind")
+    return both.mapInArrow(run, schema).filter("_kind = 1").select("table_id", "_row.*", "may")

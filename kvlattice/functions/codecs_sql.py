@@ -66,6 +66,105 @@ def file_iv(base: Column, offset: Column) -> Column:
     return F.concat(base, be_bytes(offset, 4))
 
 
+def _byte(b: Column, at: Column) -> Column:
+    return F.conv(F.hex(F.substring(b, at, F.lit(1))), 16, 10).cast("int")
+
+
+def _low_byte(x: Column) -> Column:
+    return F.lpad(F.hex(x.cast("long")), 2, "0")
+
+
+def aes_ctr(data: Column, key: Column, iv: Column) -> Column:
+    """AES in CTR mode: data XOR the encrypted counter, which starts at the 16
+    bytes of ``iv`` and counts in its last four. The same call decrypts. Counters
+    are encrypted as one ECB text, whose blocks do not depend on each other."""
+    blocks = F.greatest(F.ceil(F.octet_length(data) / 16), F.lit(1)).cast("int")
+    first = F.conv(F.hex(F.substring(iv, 13, 4)), 16, 10).cast("long")
+    count = lambda i: F.concat(F.hex(F.substring(iv, 1, 12)), F.lpad(F.hex((first + i) % (1 << 32)), 8, "0"))
+    counters = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), blocks - 1), count), ""))
+    stream = F.aes_encrypt(counters, key, F.lit("ECB"), F.lit("PKCS"))
+    mixed = F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda i: _low_byte(_byte(data, i).bitwiseXOR(_byte(stream, i))))
+    return F.when(F.octet_length(data) == 0, F.lit(b"")).otherwise(F.unhex(F.array_join(mixed, "")))
+
+
+def uvarint(x: Column) -> Column:
+    """The bytes of an unsigned variable-length integer (below 2^63)."""
+    part = lambda i: F.shiftrightunsigned(x, 7 * i).bitwiseAND(F.lit(127)) if i else x.bitwiseAND(F.lit(127))
+    n = varint_size(x)
+    text = [F.when(F.lit(i) < n, _low_byte(F.when(F.lit(i + 1) < n, part(i) + 128).otherwise(part(i)))).otherwise("") for i in range(9)]
+    return F.unhex(F.concat(*text))
+
+
+def value_bytes(meta: Column, user_meta: Column, expires_at: Column, data: Column) -> Column:
+    """An encoded value: two metas, the expiry, the data."""
+    return F.concat(be_bytes(meta, 1), be_bytes(user_meta, 1), uvarint(expires_at), data.cast("binary"))
+
+
+def header_bytes(meta: Column, user_meta: Column, key_len: Column, value_len: Column, expires_at: Column) -> Column:
+    """A record's header: two metas, key and value lengths, the expiry."""
+    return F.concat(be_bytes(meta, 1), be_bytes(user_meta, 1), uvarint(key_len.cast("long")), uvarint(value_len.cast("long")), uvarint(expires_at))
+
+
+def record_bytes(key: Column, version: Column, value: Column, meta: Column, user_meta: Column, expires_at: Column) -> Column:
+    """A log record: header, key with version, value, CRC-32 of all these."""
+    full = with_version(key, version)
+    body = F.concat(header_bytes(meta, user_meta, F.octet_length(full), F.octet_length(value), expires_at), full, value.cast("binary"))
+    return F.concat(body, be_bytes(F.crc32(body), 4))
+
+
+def entry_header_bytes(overlap: Column, diff: Column) -> Column:
+    """A block entry's header: two little-endian shorts."""
+    little = lambda x: F.concat(be_bytes(x % 256, 1), be_bytes(F.floor(x / 256), 1))
+    return F.concat(little(overlap), little(diff))
+
+
+def read_entry_header(b: Column) -> Column:
+    """overlap and diff of a block entry's header."""
+    short = lambda i: _byte(b, F.lit(i)) + 256 * _byte(b, F.lit(i + 1))
+    return F.struct(short(1).alias("overlap"), short(3).alias("diff"))
+
+
+#: Seed and multiplier of the filter's hash.
+SEED, FACTOR = 0xBC9F1D34, 0xC6A4A793
+WORD = 0xFFFFFFFF
+
+
+def _times(x: Column) -> Column:
+    """x * FACTOR modulo 2^32, in halves, so that 64 bits hold all products."""
+    low = x.bitwiseAND(F.lit(0xFFFF)) * FACTOR
+    high = F.shiftrightunsigned(x, 16) * FACTOR % (1 << 16) * (1 << 16)
+    return (low + high) % (1 << 32)
+
+
+def bloom_hash(key: Column) -> Column:
+    """The 32-bit hash that filters are made of, as a long."""
+    b, n = key.cast("binary"), F.octet_length(key).cast("long")
+    at = lambda i: _byte(b, i).cast("long")
+    seed = _times(n).bitwiseXOR(F.lit(SEED))
+    words = F.floor(n / 4).cast("int")
+
+    def word(h: Column, i: Column) -> Column:
+        x = sum((at(4 * i + k + 1) * (1 << 8 * k) for k in range(1, 4)), at(4 * i + 1))
+        h = _times((h + x) % (1 << 32))
+        return h.bitwiseXOR(F.shiftrightunsigned(h, 16))
+
+    h = F.when(words == 0, seed).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(words - 1, F.lit(0))), seed, word))
+    rest = sum((F.when(n % 4 > k, at(words * 4 + k + 1) * (1 << 8 * k)).otherwise(F.lit(0).cast("long")) for k in range(3)), F.lit(0).cast("long"))
+    last = _times((h + rest) % (1 << 32))
+    return F.when(n % 4 == 0, h).otherwise(last.bitwiseXOR(F.shiftrightunsigned(last, 24)))
+
+
+def with_time(key: Column, seconds: Column) -> Column:
+    """Key bytes with the seconds of a clock behind them, as they are (a version
+    is inverted instead)."""
+    return F.concat(key.cast("binary"), be_bytes(seconds, 8))
+
+
+def set_version(encoded: Column, version_: Column) -> Column:
+    """The same key with another version in place of its own."""
+    return with_version(user_key(encoded), version_)
+
+
 def valid_key_length(key: Column) -> Column:
     return F.length(key).isin(16, 24, 32)
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codecs_sql import CHECKSUM, COMPRESSION
 from ..model import DELETE, has
+from ..sources.tables import file_name
 from .ordering import bounds, row_number
 
 
@@ -52,9 +54,37 @@ def range_overlaps(left: str, right: str, inf: str, other_left: str, other_right
     return F.when(empty(left, right, inf), True).when(empty(other_left, other_right, other_inf), False).when(F.col(inf) | F.col(other_inf), True).otherwise(meets)
 
 
+def range_is_empty(left: str, right: str, inf: str):
+    return (F.col(left) == "") & (F.col(right) == "") & ~F.col(inf)
+
+
+def range_equals(left: str, right: str, inf: str, other_left: str, other_right: str, other_inf: str):
+    """Equal ends, whatever the versions (keys here have none)."""
+    return (F.col(left) == F.col(other_left)) & (F.col(right) == F.col(other_right)) & (F.col(inf) == F.col(other_inf))
+
+
+def metadata(manifest: DataFrame, bits_per_key: int = 10, compression: int = 2, checksum: int = 0) -> DataFrame:
+    """What a table tells of itself."""
+    bits = F.greatest(F.lit(64), F.col("key_count") * bits_per_key)
+    return manifest.select(
+        F.col("table_id").alias("id"),
+        file_name(F.col("table_id")).alias("path"),
+        "smallest",
+        "biggest",
+        "max_version",
+        "key_count",
+        F.col("size").alias("uncompressed_size"),
+        F.col("stale_size").alias("stale_data_size"),
+        (F.floor((bits + 7) / 8) + 1).alias("bloom_filter_size"),
+        F.lit(COMPRESSION[compression]).alias("compression"),
+        F.lit(CHECKSUM[checksum]).alias("checksum"),
+        F.lit(False).alias("in_memory"),
+    )
+
+
 def overlapping_tables(manifest: DataFrame, low: str, high: str) -> DataFrame:
     """The tables that meet [low, high], with their place in key order."""
-    placed = row_number(manifest, "smallest", [F.col("smallest"), F.col("table_id")], "n").withColumn("place", F.col("n") - 1).drop("n")
+    placed = row_number(manifest, [F.col("smallest"), F.col("table_id")], "n").withColumn("place", F.col("n") - 1).drop("n")
     return placed.filter((F.col("biggest") >= low) & (F.col("smallest") <= high))
 
 
@@ -102,6 +132,6 @@ def key_splits(log: DataFrame, n: int, prefix: str = "") -> DataFrame:
     """n - 1 keys that cut the distinct keys of a prefix into n even parts."""
     keys = log.filter(F.col("user_key").startswith(prefix)).select("user_key").distinct()
     total = keys.count()
-    placed = row_number(keys, "user_key", [F.col("user_key")], "place")
+    placed = row_number(keys, [F.col("user_key")], "place")
     wanted = [total * i // n + 1 for i in range(1, n)]
     return placed.filter(F.col("place").isin(wanted)) if wanted else placed.limit(0)

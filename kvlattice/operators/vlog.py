@@ -43,12 +43,9 @@ def split_values(log: DataFrame, threshold: int) -> DataFrame:
     )
 
 
-def rotate(log: DataFrame, file_size: int) -> DataFrame:
-    """The file and offset of each record when a new file starts at every
-    ``file_size`` bytes of the running total: an approximation of
-    ``rotate_requests``."""
-    placed = running_sum(log.withColumn("_size", record_size().cast("long")), "seq", [F.col("seq")], F.col("_size"), "_at")
-    return placed.withColumn("new_fid", F.floor(F.col("_at") / file_size)).withColumn("new_offset", F.col("_at") % file_size + FILE_HEADER).drop("_size", "_at")
+def rotate(log: DataFrame, file_size: int, threshold: int, max_entries: int = 1_000_000) -> DataFrame:
+    """``rotate_requests`` with a request for each record."""
+    return rotate_requests(log.withColumn("request", F.col("seq")), file_size, threshold, max_entries).drop("request")
 
 
 def rotate_requests(log: DataFrame, file_size: int, threshold: int, max_entries: int = 1_000_000) -> DataFrame:
@@ -137,16 +134,75 @@ def request_size() -> Column:
     return F.sum(F.octet_length("user_key") + F.octet_length("value") + 25)
 
 
-def batches(log: DataFrame, max_bytes: int) -> DataFrame:
-    """Entries in batches of about max_bytes each, in order."""
-    placed = running_sum(log.withColumn("_size", (F.octet_length("user_key") + F.octet_length("value")).cast("long")), "seq", [F.col("seq")], F.col("_size"), "_at")
-    return placed.withColumn("batch", F.floor(F.col("_at") / max_bytes)).drop("_size", "_at")
+def validate_writes(log: DataFrame, file_size: int, limit: int = MAX_OFFSET) -> DataFrame:
+    """A row for each ``request`` of each ``fid``: the offset at which it would
+    end, by its largest size, and whether that is within the limit. Behind a
+    request that reaches file_size the count starts anew, at 0; behind one over
+    the limit it stays, as the store refuses the write there."""
+
+    def make():
+        log = at = None
+
+        def step(fid, size):
+            nonlocal log, at
+            if fid != log:
+                log, at = fid, FILE_HEADER
+            end = at + size
+            at = at if end > limit else 0 if end >= file_size else end
+            return end, int(end <= limit)
+
+        return step
+
+    asked = log.groupBy("fid", "request").agg(request_size().cast("long").alias("size"))
+    out = ordered_fold(asked, "fid", [F.col("request")], ["size"], make, {"end": "long", "valid": "long"})
+    return out.withColumn("valid", F.col("valid") == 1)
+
+
+def batches(log: DataFrame, max_bytes: int, max_count: int, threshold: int) -> DataFrame:
+    """Adds the batch of each entry that a log file's rewrite puts back, in the
+    order of ``seq``: an entry opens a new batch if with it the batch would have
+    max_count entries or max_bytes (its size in the tree and its value's)."""
+
+    def make():
+        log = batch = count = total = None
+
+        def step(fid, size):
+            nonlocal log, batch, count, total
+            if fid != log:
+                log, batch, count, total = fid, 0, 0, 0
+            elif count and (count + 1 >= max_count or total + size >= max_bytes):
+                batch, count, total = batch + 1, 0, 0
+            count, total = count + 1, total + size
+            return (batch,)
+
+        return step
+
+    rows = log.withColumn("_size", (estimated_size(threshold) + F.octet_length("value")).cast("long"))
+    return ordered_fold(rows, "fid", [F.col("seq")], ["_size"], make, {"batch": "long"}).drop("_size")
+
+
+def open_files(files: DataFrame) -> DataFrame:
+    """files (fid, size): those that stay when a value log is opened. An empty one
+    (its header only) goes, but for the newest, which is written next."""
+    newest = files.agg(F.max("fid").alias("_max"))
+    kept = files.join(F.broadcast(newest)).filter((F.col("size") > FILE_HEADER) | (F.col("fid") == F.col("_max")))  # one row
+    return kept.withColumn("writable", F.col("fid") == F.col("_max")).drop("_max")
+
+
+def with_checksum(log: DataFrame) -> DataFrame:
+    """Adds the CRC-32 of each record's key and value."""
+    return log.withColumn("crc", F.crc32(F.concat(F.col("user_key").cast("binary"), F.col("value").cast("binary"))))
+
+
+def verify(records: DataFrame) -> DataFrame:
+    """Adds whether a record (crc) still has its checksum."""
+    return records.withColumn("intact", F.col("crc") == F.crc32(F.concat(F.col("user_key").cast("binary"), F.col("value").cast("binary"))))
 
 
 def size_percentile(log: DataFrame, p: float) -> DataFrame:
     """The smallest value size that p of all values reach at most, exactly: the
     sizes are counted first, so the distinct sizes alone are ordered."""
     sizes = log.groupBy(F.octet_length("value").cast("long").alias("size")).agg(F.count("*").alias("n"))
-    placed = running_sum(sizes, "size", [F.col("size")], F.col("n"), "upto", inclusive=True)
+    placed = running_sum(sizes, [F.col("size")], F.col("n"), "upto", inclusive=True)
     total = sizes.agg(F.sum("n").alias("total"))
     return placed.join(F.broadcast(total)).filter(F.col("upto") >= F.col("total") * p).agg(F.min("size").alias("threshold"))

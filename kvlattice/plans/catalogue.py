@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs, codecs_sql
@@ -59,10 +59,14 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import storage  # noqa: F401  adds its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import storage  # noqa: F401
+
     return dict(_sql)
 
 
@@ -338,17 +342,27 @@ def _(spark, d):
     return found.select(*COLUMNS)
 
 
-@query(
-    "vlog_rotate",
-    f"""WITH {LOG}, s AS (SELECT *, 4 + CASE WHEN expires_at < 128 THEN 1 WHEN expires_at < 16384 THEN 2 WHEN expires_at < 2097152 THEN 3 ELSE 4 END + strlen(user_key) + 8 + strlen(value) + 4 AS sz FROM log),
-r AS (SELECT seq, CAST(coalesce(sum(sz) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS p FROM s)
-SELECT seq, p // 4096 AS new_fid, p % 4096 + 20 AS new_offset FROM r""",
-)
+VARINT = "CASE WHEN expires_at < 128 THEN 1 WHEN expires_at < 16384 THEN 2 WHEN expires_at < 2097152 THEN 3 ELSE 4 END"
+
+
+def _rotate_sql(request: str) -> str:
+    """Requests are written whole; a file ends behind the one that passes 4096 bytes."""
+    return f"""WITH RECURSIVE {LOG}, s AS (SELECT fid, seq, {request} AS request, strlen(value) >= 9 AS in_log,
+  CASE WHEN strlen(value) >= 9 THEN 4 + {VARINT} + strlen(user_key) + 8 + strlen(value) + 4 ELSE 0 END AS sz FROM log),
+q AS (SELECT fid, request, row_number() OVER (PARTITION BY fid ORDER BY request) AS n, CAST(sum(sz) AS BIGINT) AS total FROM s GROUP BY fid, request),
+f AS (SELECT fid, n, request, CAST(0 AS BIGINT) AS file, CAST(20 AS BIGINT) AS pos, total FROM q WHERE n = 1 UNION ALL
+  SELECT q.fid, q.n, q.request, f.file + CASE WHEN f.pos + f.total > 4096 THEN 1 ELSE 0 END, CASE WHEN f.pos + f.total > 4096 THEN 20 ELSE f.pos + f.total END, q.total FROM f JOIN q ON q.fid = f.fid AND q.n = f.n + 1)
+SELECT s.fid, seq, CASE WHEN in_log THEN file END AS new_fid,
+  CASE WHEN in_log THEN CAST(pos + coalesce(sum(sz) OVER (PARTITION BY s.fid, s.request ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) END AS new_offset
+FROM s JOIN f USING (fid, request)"""
+
+
+@query("vlog_rotate", _rotate_sql("seq"))
 def _(spark, d):
-    return vlog.rotate(events_log(spark, d), 4096).select("seq", "new_fid", "new_offset")
+    return vlog.rotate(events_log(spark, d), 4096, 9).select("fid", "seq", "new_fid", "new_offset")
 
 
-@query("vlog_rotate_fold")
+@query("vlog_rotate_fold", _rotate_sql("seq // 5"))
 def _(spark, d):
     log = events_log(spark, d).withColumn("request", F.floor(F.col("seq") / 5))
     return vlog.rotate_requests(log, 4096, 9).select("fid", "seq", "new_fid", "new_offset")
@@ -375,9 +389,16 @@ def _(spark, d):
     return vlog.size_percentile(read(spark, d, "documents").select(F.col("text").alias("value")), 0.9)
 
 
-@query("write_batches", f"WITH {LOG}, r AS (SELECT seq, CAST(coalesce(sum(strlen(user_key) + strlen(value)) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS p FROM log) SELECT p // 10000 AS batch, count(*) AS entries FROM r GROUP BY 1")
+@query(
+    "write_batches",
+    f"""WITH RECURSIVE {LOG}, e AS (SELECT fid, seq, row_number() OVER (PARTITION BY fid ORDER BY seq) AS n, strlen(user_key) + CASE WHEN strlen(value) < 9 THEN strlen(value) + 2 ELSE 14 END + strlen(value) AS sz FROM log),
+b AS (SELECT fid, n, CAST(0 AS BIGINT) AS batch, 1 AS c, sz AS total FROM e WHERE n = 1 UNION ALL
+  SELECT fid, n, batch + CASE WHEN opens THEN 1 ELSE 0 END, CASE WHEN opens THEN 1 ELSE c + 1 END, CASE WHEN opens THEN sz ELSE total + sz END
+  FROM (SELECT e.fid, e.n, b.batch, b.c, b.total, e.sz, b.c + 1 >= 100 OR b.total + e.sz >= 2048 AS opens FROM b JOIN e ON e.fid = b.fid AND e.n = b.n + 1))
+SELECT fid, batch, count(*) AS entries FROM b GROUP BY fid, batch""",
+)
 def _(spark, d):
-    return vlog.batches(events_log(spark, d), 10_000).groupBy("batch").agg(F.count("*").alias("entries"))
+    return vlog.batches(events_log(spark, d), 2048, 100, 9).groupBy("fid", "batch").agg(F.count("*").alias("entries"))
 
 
 # ---- garbage collection
@@ -428,12 +449,16 @@ def _(spark, d):
     return gc.discard_ratio(gc.discard_flags(*_entries(spark, d), NOW)).withColumn("ratio", F.round("ratio", 9))
 
 
-@query("vlog_gc_survivors", f"WITH {ENTRIES} SELECT user_key, version, meta & 61 AS meta FROM flags WHERE cv = version AND cs = seq AND cf = fid AND cm & 1 = 0")
+@query("vlog_gc_survivors", f"WITH {ENTRIES} SELECT user_key, version, meta & 61 AS meta FROM flags WHERE NOT discard AND cs = seq AND cf = fid")
 def _(spark, d):
-    return gc.survivors(*_entries(spark, d)).select("user_key", "version", "meta")
+    return gc.survivors(*_entries(spark, d), NOW).select("user_key", "version", "meta")
 
 
-@query("vlog_gc_candidates", f"WITH {DISCARDS}, b AS (SELECT * FROM stats ORDER BY discard DESC, fid LIMIT 1) SELECT fid FROM b WHERE discard > 0 AND discard >= 0.3 * 1000 AND fid < 149")
+@query(
+    "vlog_gc_candidates",
+    f"""WITH {LOG}, {DISCARDS}, s AS (SELECT CAST(substr(user_key, 6) AS BIGINT) AS fid, CAST(sum(4 + {VARINT} + strlen(user_key) + 8 + strlen(value) + 4) AS BIGINT) + 20 AS size FROM log GROUP BY 1),
+b AS (SELECT * FROM stats ORDER BY discard DESC, fid LIMIT 1) SELECT fid FROM b JOIN s USING (fid) WHERE discard > 0 AND discard >= 0.3 * size AND fid < (SELECT max(fid) FROM u)""",
+)
 def _(spark, d):
     updates = _updates(spark, d)
     entries, current = (x.withColumn("fid", F.substring("user_key", 6, 20).cast("long")) for x in _entries(spark, d))  # the files of the updates
@@ -458,17 +483,34 @@ def _(spark, d):
     return gc.compact(events_log(spark, d), 3, NOW).select(*COLUMNS)
 
 
-@query(
-    "compaction_reserve",
-    """WITH w AS (SELECT user_id * 10 + min(event_id) % 7 AS id, CAST(user_id % 3 AS INTEGER) AS level, lpad(CAST(user_id * 7 % 100 AS VARCHAR), 3, '0') AS l, lpad(CAST(user_id * 7 % 100 + 3 AS VARCHAR), 3, '0') AS r FROM events GROUP BY user_id)
-SELECT id, level FROM w a WHERE NOT EXISTS (SELECT 1 FROM w b WHERE b.level = a.level AND a.l <= b.r AND a.r >= b.l AND b.id < a.id)""",
-)
-def _(spark, d):
+def _wanted(spark, d):
+    """A compaction for each user: a narrow range of its level, a wider one of the next."""
     u = F.col("user_id")
-    wanted = read(spark, d, "events").groupBy("user_id").agg(F.min("event_id").alias("m")).select((u * 10 + F.col("m") % 7).alias("id"), (u % 3).cast("int").alias("level"), F.lpad((u * 7 % 100).cast("string"), 3, "0").alias("left"), F.lpad((u * 7 % 100 + 3).cast("string"), 3, "0").alias("right"))
+    at = u * 7 % 100
+    three = lambda x: F.lpad(x.cast("string"), 3, "0")
+    rows = read(spark, d, "events").groupBy("user_id").agg(F.min("event_id").alias("m"), F.count("*").alias("size"))
+    return rows.select((u * 10 + F.col("m") % 7).alias("id"), (u % 3).cast("int").alias("level"), three(at).alias("left"), three(at + 3).alias("right"), (u % 3 + 1).cast("int").alias("next_level"), three(at).alias("next_left"), three(at + 4).alias("next_right"), "size")
+
+
+WANTED = """w AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM (SELECT user_id * 10 + min(event_id) % 7 AS id, CAST(user_id % 3 AS INTEGER) AS level, lpad(CAST(user_id * 7 % 100 AS VARCHAR), 3, '0') AS l, lpad(CAST(user_id * 7 % 100 + 3 AS VARCHAR), 3, '0') AS r, lpad(CAST(user_id * 7 % 100 + 4 AS VARCHAR), 3, '0') AS nr, count(*) AS size FROM events GROUP BY user_id)),
+g AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST([] AS STRUCT(level INTEGER, l VARCHAR, r VARCHAR)[]) AS held UNION ALL
+  SELECT n, CASE WHEN free THEN id END, CASE WHEN free THEN held || [{'level': level, 'l': l, 'r': r}, {'level': level + 1, 'l': l, 'r': nr}] ELSE held END
+  FROM (SELECT w.*, g.held, len(list_filter(g.held, lambda h: (h.level = w.level AND h.l <= w.r AND h.r >= w.l) OR (h.level = w.level + 1 AND h.l <= w.nr AND h.r >= w.l))) = 0 AS free FROM g JOIN w ON w.n = g.n + 1)),
+taken AS (SELECT w.* FROM w JOIN g USING (id))"""
+
+
+@query("compaction_reserve", f"WITH RECURSIVE {WANTED} SELECT id, level FROM taken")
+def _(spark, d):
+    wanted = _wanted(spark, d)
     return gc.reserve(wanted.limit(0), wanted).select("id", "level")
 
 
+@query("compaction_del_size", f"WITH RECURSIVE {WANTED} SELECT level, count(*) AS compactions, CAST(sum(size) AS BIGINT) AS del_size FROM taken GROUP BY level")
+def _(spark, d):
+    wanted = _wanted(spark, d)
+    return gc.reserved_size(gc.reserve(wanted.limit(0), wanted))
+
+
 # ---- replay and marks
 
 
@@ -569,7 +611,7 @@ SELECT k, CASE WHEN p IS NULL THEN 0 ELSE (SELECT count(*) FROM range(1, 40) AS
 )
 def _(spark, d):
     keys = read(spark, d, "orders").select(F.concat("o_orderpriority", F.col("o_orderkey").cast("string")).alias("k")).distinct()
-    out = neighbours(keys, "k", [F.col("k")], [F.desc("k")], ["k"])
+    out = neighbours(keys, [F.col("k")], ["k"])
     return out.select("k", F.coalesce(codecs_sql.common_prefix(F.col("k"), F.col("prev_k")), F.lit(0)).cast("long").alias("lcp"))
 
 
@@ -606,18 +648,18 @@ def _(spark, d):
 @query("bloom_probe")
 def _(spark, d):
     log = events_log(spark, d)
-    keys = spark.createDataFrame([(KEY,), ("user:999999",), ("other",)], "user_key string")
-    return codecs.probe_filters(codecs.table_filters(log), keys)
+    keys = F.explode(F.array(*[F.lit(k) for k in (KEY, "user:999999", "other")])).alias("user_key")
+    return codecs.probe_filters(codecs.table_filters(log), log.select("table_id").distinct().select("table_id", keys))
 
 
 # ---- data keys
 
-DATA_KEYS = "keys AS (SELECT c_custkey AS key_id, c_custkey * 3600 AS created_at FROM customer WHERE c_custkey BETWEEN 1 AND 50)"
+DATA_KEYS = "keys AS (SELECT c_custkey AS key_id, c_custkey * 3600 AS created_at FROM customer)"
 
 
 def _keys(spark, d):
     k = F.col("c_custkey")
-    return read(spark, d, "customer").filter(k.between(1, 50)).select(k.alias("key_id"), F.concat(F.lit("key-"), k.cast("string")).alias("data"), (k * 3600).alias("created_at"))
+    return read(spark, d, "customer").select(k.alias("key_id"), F.concat(F.lit("key-"), k.cast("string")).alias("data"), (k * 3600).alias("created_at"))
 
 
 @query("registry_latest", f"WITH {DATA_KEYS} SELECT key_id, created_at, 200000 - created_at < 86400 AS valid FROM keys ORDER BY created_at DESC, key_id DESC LIMIT 1")
@@ -692,18 +734,22 @@ def _(spark, d):
     return events_log(spark, d).select("seq", (F.octet_length("value") < 9).alias("in_line"))
 
 
-@query("table_cut", f"WITH {LOG}, r AS (SELECT seq, table_id, CAST(coalesce(sum(strlen(user_key) + strlen(value)) OVER (PARTITION BY table_id ORDER BY user_key, version DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS p FROM log) SELECT table_id, p // 3891 AS file, count(*) AS n FROM r GROUP BY ALL")
-def _(spark, d):
-    before = Window.partitionBy("table_id").orderBy(*canonical()).rowsBetween(Window.unboundedPreceding, -1)  # a table is bounded
-    at = F.coalesce(F.sum(F.octet_length("user_key") + F.octet_length("value")).over(before), F.lit(0))
-    return events_log(spark, d).withColumn("file", F.floor(at / int(4096 * 0.95))).groupBy("table_id", "file").agg(F.count("*").alias("n"))
+TABLE_CUT = f"""WITH RECURSIVE {LOG}, e AS (SELECT table_id, row_number() OVER (PARTITION BY table_id ORDER BY user_key, version DESC, seq) AS n, strlen(user_key) + strlen(value) AS sz FROM log),
+c AS (SELECT table_id, n, CAST(0 AS BIGINT) AS file, sz AS total FROM e WHERE n = 1 UNION ALL
+  SELECT e.table_id, e.n, c.file + CASE WHEN c.total > 3891 THEN 1 ELSE 0 END, CASE WHEN c.total > 3891 THEN e.sz ELSE c.total + e.sz END FROM c JOIN e ON e.table_id = c.table_id AND e.n = c.n + 1)
+SELECT table_id, file, count(*) AS n FROM c GROUP BY table_id, file"""
 
 
-@query("table_cut_fold")
+@query("table_cut", TABLE_CUT)
 def _(spark, d):
     return vlog.cut_tables(events_log(spark, d), 4096).groupBy("table_id", "file").agg(F.count("*").alias("n"))
 
 
+@query("table_cut_fold", TABLE_CUT.replace("3891", "972").replace("seq)", "seq)"))
+def _(spark, d):
+    return vlog.cut_tables(events_log(spark, d), 1024).groupBy("table_id", "file").agg(F.count("*").alias("n"))
+
+
 @query("get_over_sources", f"""WITH {LOG}, u AS (SELECT user_key, version, value, 0 AS src FROM log WHERE seq % 5 = 0 UNION ALL SELECT user_key, version, 'old ' || value, 1 FROM log),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY version DESC, src) AS n FROM u WHERE version <= {AT}) SELECT user_key, version, value FROM r WHERE n = 1""")
 def _(spark, d):
@@ -739,11 +785,14 @@ def _(spark, d):
     return _split(spark, d).filter("in_log").select("seq", F.lower(F.hex(codecs_sql.file_iv(base, F.col("offset")))).alias("iv"))
 
 
-@query("value_encryption", f"WITH {LOG} SELECT seq, value FROM log")
+@query("value_encryption", f"WITH {LOG} SELECT seq, value, strlen(value) AS hidden_bytes, value <> '' AS hidden FROM log")
 def _(spark, d):
-    key = F.lit("0123456789abcdef0123456789abcdef")
-    hidden = events_log(spark, d).select("seq", F.aes_encrypt("value", key, F.lit("GCM")).alias("hidden"))
-    return hidden.select("seq", F.aes_decrypt("hidden", key, F.lit("GCM")).cast("string").alias("value"))
+    """CTR keeps the length, hides the value, and is its own inverse."""
+    key, iv = F.lit(b"0123456789abcdef0123456789abcdef"), codecs_sql.file_iv(F.lit(bytes(range(12))), F.col("seq"))
+    rows = events_log(spark, d).select("seq", "value", iv.alias("iv"))
+    rows = rows.withColumn("c", codecs_sql.aes_ctr(F.col("value").cast("binary"), key, F.col("iv")))
+    shown = codecs_sql.aes_ctr(F.col("c"), key, F.col("iv")).cast("string")
+    return rows.select("seq", shown.alias("value"), F.octet_length("c").cast("long").alias("hidden_bytes"), (F.col("c") != F.col("value").cast("binary")).alias("hidden"))
 
 
 @query("common_suffix", """WITH r AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS a, CAST(o_orderkey + o_custkey * 100 AS VARCHAR) AS b FROM orders)

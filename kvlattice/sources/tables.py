@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import canonical
+from ..model import KV_LOG, canonical
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,3 +54,37 @@ def write_table(df: DataFrame, path: str, rows_per_file: int = 0, compression: s
 
 def open_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+#: So many picked tables are named in the scan itself; more are joined.
+NAMED = 1000
+
+
+def write_tables(log: DataFrame, path: str) -> None:
+    """A folder for each table, so that a scan of some opens these only. A table
+    is bounded in size, so a task may write it."""
+    placed = log.repartition("level", "table_id").sortWithinPartitions("level", "table_id", *canonical())
+    placed.write.partitionBy("level", "table_id").parquet(path)
+
+
+def read_tables(spark: SparkSession, path: str, schema, picked: DataFrame) -> DataFrame:
+    """The rows of the picked tables (level, table_id), and no other file."""
+    tables = spark.read.schema(schema).parquet(path)
+    few = picked.select("level", "table_id").distinct().limit(NAMED + 1).collect()
+    if len(few) > NAMED:
+        return tables.join(picked.select("level", "table_id").distinct(), ["level", "table_id"], "left_semi")
+    named = [(F.col("level") == lv) & F.col("table_id").isin([r.table_id for r in few if r.level == lv]) for lv in sorted({r.level for r in few})]
+    return tables.filter(reduce(Column.__or__, named)) if named else tables.limit(0)
+
+
+def open_in_memory(spark: SparkSession, rows: list[tuple], name: str, schema=KV_LOG) -> DataFrame:
+    """A table of rows that a driver holds, under a name of this session."""
+    df = spark.createDataFrame(rows, schema).orderBy(*canonical())
+    df.createOrReplaceTempView(name)
+    return df
+
+
+def create_table(log: DataFrame, path: str, **options) -> DataFrame:
+    """Writes a sorted table and opens it."""
+    write_table(log, path, **options)
+    return open_table(log.sparkSession, path)

@@ -7,8 +7,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState
 
+from ..operators.merge import insert
+
 
 def done_until_stream(marks: DataFrame) -> DataFrame:
     """marks (name, idx, done), a stream: for each name the largest index with
@@ -33,15 +36,12 @@ def done_until_stream(marks: DataFrame) -> DataFrame:
 
 
 def follow_threshold(values: DataFrame, percentile: float, publish: Callable[[int], None]):
-    """A stream of values (size): publishes the percentile of all sizes so far.
-    Counts by size are kept on the driver between batches, in at most 64 classes
-    of powers of two."""
-    seen: dict[int, int] = {}
+    """A stream of values (size): publishes the percentile of all sizes so far, in
+    classes of powers of two. Their counts, 64 at most, are the query's state, so
+    a restart from its checkpoint goes on with them."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        bits = F.ceil(F.log2(F.greatest(F.col("size"), F.lit(1)).cast("double"))).cast("int")
-        for r in rows.groupBy(bits.alias("b")).count().collect():
-            seen[r.b] = seen.get(r.b, 0) + r["count"]
+        seen = {r.bits: r["count"] for r in rows.collect()}
         total, upto = sum(seen.values()), 0
         for b in sorted(seen):
             upto += seen[b]
@@ -49,9 +49,26 @@ def follow_threshold(values: DataFrame, percentile: float, publish: Callable[[in
                 publish(1 << b)
                 break
 
-    return values.writeStream.foreachBatch(batch)
+    size = F.greatest(F.col("size").cast("long"), F.lit(1))
+    bits = F.when(size == 1, 0).otherwise(F.length(F.bin(size - 1)))  # 1 << bits is the class's largest size
+    return values.groupBy(bits.alias("bits")).count().writeStream.outputMode("complete").foreachBatch(batch)
 
 
 def stream_completion(messages: DataFrame) -> DataFrame:
     """messages (stream_id, stream_done, ...), a stream: rows and completion."""
     return messages.groupBy("stream_id").agg(F.count("*").alias("messages"), F.max("stream_done").alias("done"))
+
+
+def handover(writes: DataFrame, path: str):
+    """A stream of writes: each batch becomes a memtable (the last write of a key
+    and version stays), which is handed over as a table of its own."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        insert(rows).write.mode("overwrite").parquet(f"{path}/batch={number}")  # the same again after a restart
+
+    return writes.writeStream.foreachBatch(batch)
+
+
+def finish(writer: DataStreamWriter, checkpoint: str) -> None:
+    """Runs a query over all that its source has now."""
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

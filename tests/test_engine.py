@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from kvlattice.functions import codecs, codecs_sql
 from kvlattice.model import KV_LOG, canonical, dead
-from kvlattice.operators import buffers, gc, manifest, merge, reads, registry, replay, vlog
-from kvlattice.operators.ordering import row_number
-from kvlattice.sources.tables import file_name, open_table, parse_file_id, write_table
-from kvlattice.sources.wal import WalSource, WalWriter
+from kvlattice.operators import buffers, gc, levels, manifest, merge, reads, registry, replay, vlog
+from kvlattice.operators.ordering import carry, row_number, running_sum
+from kvlattice.sources.tables import file_name, open_table, parse_file_id, write_table, write_tables
+from kvlattice.sources.wal import WalSource, WalWriter, read_wal
 
 
 def rows(spark, data):
@@ -27,6 +27,7 @@ def kv(df):
     return [(r.user_key, r.value) for r in df.collect()]
 
 
+# Tables, probes and outcomes that merges and seeks must agree with.
 T1, T2 = [("k1", "a1"), ("k4", "a4"), ("k5", "a5")], [("k2", "b2"), ("k3", "b3"), ("k4", "b4")]
 
 
@@ -108,10 +109,130 @@ def test_neighbours_and_numbers_over_ranges(spark):
     got = {r.user_key: (r.prev_user_key, r.next_user_key) for r in reads.next_prev(log).collect()}
     keys = sorted(got)
     assert all(got[k] == (keys[i - 1] if i else None, keys[i + 1] if i + 1 < n else None) for i, k in enumerate(keys))
-    placed = row_number(log, "user_key", [F.col("user_key")], "place").collect()
+    placed = row_number(log, [F.col("user_key")], "place").collect()
     assert all(keys[r.place - 1] == r.user_key for r in placed)
 
 
+@pytest.fixture
+def hot(spark):
+    """A log of which one key holds half, over more ranges than keys."""
+    data = [(f"k{i % 40:03d}" if i % 2 else "k020", i, str(i)) for i in range(4000)]
+    return data, rows(spark, data).repartition(7)
+
+
+def test_order_with_a_hot_key(spark, hot):
+    data, log = hot
+    want = sorted(((k, -v) for k, v, _ in data))
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = reads.number(log).collect()
+        parts = log.repartitionByRange(*canonical(), "seq").groupBy(F.spark_partition_id()).count().collect()
+        near = {(r.user_key, r.version): (r.prev_version, r.next_version) for r in reads.next_prev(log).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert [(r.user_key, -r.version) for r in sorted(got, key=lambda r: r.position)] == want
+    assert max(r["count"] for r in parts) < 2000  # the hot key is in several ranges
+    for i, (k, v) in enumerate(want):
+        assert near[k, -v] == (-want[i - 1][1] if i else None, -want[i + 1][1] if i + 1 < len(want) else None)
+
+
+def test_sums_and_carries_over_ranges(spark, hot):
+    data, log = hot
+    total, want = 0, {}
+    for k, v, x in sorted(data, key=lambda r: (r[0], -r[1])):
+        want[k, v] = total
+        total += len(x)
+    got = running_sum(log, [*canonical(), F.col("seq")], F.length("value"), "before").collect()
+    assert {(r.user_key, r.version): r.before for r in got} == want
+    last, want = None, {}
+    for k, v, _ in sorted(data, key=lambda r: (r[0], -r[1])):
+        last = v if v % 97 == 0 else last
+        want[k, v] = last
+    got = carry(log, [*canonical(), F.col("seq")], F.when(F.col("version") % 97 == 0, F.col("version")), "held").collect()
+    assert {(r.user_key, r.version): r.held for r in got} == want
+
+
+@pytest.mark.parametrize("mode", ["ge", "gt", "le", "lt"])
+def test_many_probes_equal_few(spark, hot, mode, monkeypatch):
+    _, log = hot
+    probes = spark.createDataFrame([(f"k{i:03d}{x}",) for i in range(0, 45, 4) for x in ("", "x")], "probe string")
+    few = sorted(map(tuple, reads.seek(log, probes, mode).collect()))
+    monkeypatch.setattr(reads, "FEW", 3)
+    assert sorted(map(tuple, reads.seek(log, probes, mode).collect())) == few and few
+    assert reads.seek(log, probes.limit(0), mode).collect() == []
+
+
+def test_as_of_get_of_a_hot_key(spark, hot):
+    data, log = hot
+    asked = spark.createDataFrame([(f"k{i % 41:03d}", i * 3) for i in range(900)], "user_key string, at long")
+    got = {(r.user_key, r.at): r.version for r in reads.get_at(log, asked).collect()}
+    for k, at in {(r.user_key, r.at) for r in asked.collect()}:
+        assert got.get((k, at)) == max((v for key, v, _ in data if key == k and v <= at), default=None)
+
+
+def test_memtable_keeps_the_last_write(spark):
+    writes = rows(spark, [("a", 1, "x"), ("a", 1, "y"), ("b", 2, "fin", 128), ("b", 1, "z")])
+    assert sorted(kv(merge.insert(writes))) == [("a", "y"), ("b", "z")]
+    assert kv(merge.merge([writes.filter("user_key = 'a'")])) == [("a", "y")]
+    assert tuple(merge.memtable_stats(merge.insert(writes)).first()) == (2, 20, 1)
+
+
+def test_reserve_is_in_order(spark):
+    """a meets b and b meets c: b is refused, so c is taken."""
+    made = lambda *x: spark.createDataFrame([(i, lv, a, b, lv + 1, a, b) for i, lv, a, b in x], "id long, level int, left string, right string, next_level int, next_left string, next_right string")
+    none = made((0, 9, "x", "x")).limit(0)
+    ids = lambda df: sorted(r.id for r in df.collect())
+    wanted = made((1, 1, "a", "c"), (2, 1, "b", "f"), (3, 1, "e", "g"))
+    assert ids(gc.reserve(none, wanted)) == [1, 3]
+    assert ids(gc.reserve(made((7, 1, "g", "h")), wanted)) == [1]
+    assert ids(gc.reserve(made((7, 2, "a", "a")), wanted)) == [2]  # the next level of 1 is busy
+    rng = random.Random(5)
+    cases = [(i, rng.randint(0, 2), *sorted(f"{rng.randint(0, 60):02d}" for _ in range(2))) for i in range(60)]
+    held, want = [], []
+    for i, lv, a, b in cases:
+        spans = [(lv, a, b), (lv + 1, a, b)]
+        if not any(x == y and a1 <= b2 and b1 >= a2 for x, a1, b1 in spans for y, a2, b2 in held):
+            held += spans
+            want.append(i)
+    assert ids(gc.reserve(none, made(*cases))) == want
+    assert ids(gc.release(wanted, wanted.filter("id = 2").select("id"))) == [1, 3]
+
+
+def test_survivors_are_live_pointers(spark):
+    """No value in the tree, no expired, deleted or newer key, and no other place moves."""
+    log = rows(spark, [(k, 5, "v", 64) for k in "abcdef"])
+    now = {"a": (5, 2, 0, 0), "b": (5, 0, 0, 0), "c": (5, 2, 9, 0), "d": (5, 3, 0, 0), "e": (6, 2, 0, 0), "f": (5, 2, 0, 4)}
+    current = spark.createDataFrame([(k, v, "", m, 0, e, 0, 0, fid, "abcdef".index(k)) for k, (v, m, e, fid) in now.items()], KV_LOG)
+    got = gc.survivors(log, current, 10).collect()
+    assert [(r.user_key, r.meta) for r in got] == [("a", 0)]
+
+
+def test_picked_tables_alone_are_read(spark, tmp_path):
+    log = rows(spark, [(f"k{i:03d}", i, "v") for i in range(500)]).withColumn("table_id", F.col("seq") % 10 * 10 + F.floor(F.col("version") / 100))
+    write_tables(log, str(tmp_path / "t"))
+    stats = manifest.table_stats(log)
+    got = levels.scan(spark, str(tmp_path / "t"), log.schema, stats, "k1", 150)
+    assert sorted(r.version for r in got.collect()) == [i for i in range(100, 200)]
+    assert got.select(F.input_file_name()).distinct().count() == 10 == manifest.pick_tables(stats, "k1", 150).count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "table_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    asked = spark.createDataFrame([("k123", 500), ("k123", 1), ("k9", 500)], "user_key string, at long")
+    found = levels.get(spark, str(tmp_path / "t"), log.schema, stats, codecs.table_filters(log), asked).collect()
+    assert [(r.user_key, r.at, r.version) for r in found] == [("k123", 500, 123)]
+
+
+def test_read_of_many_picked_tables(spark, tmp_path, monkeypatch):
+    from kvlattice.sources import tables
+
+    log = rows(spark, [(f"k{i:03d}", i, "v") for i in range(60)]).withColumn("table_id", F.col("seq") % 6)
+    write_tables(log, str(tmp_path / "t"))
+    picked = manifest.table_stats(log).filter("table_id > 1")
+    monkeypatch.setattr(tables, "NAMED", 2)
+    assert tables.read_tables(spark, str(tmp_path / "t"), log.schema, picked).count() == 40
+
+
 def test_pick_tables(spark):
     m = spark.createDataFrame([(1, 0, "a", "c", 5, 1, 1, 0), (2, 0, "b", "bz", 9, 1, 1, 0), (3, 1, "ca", "d", 9, 1, 1, 0)], "table_id long, level int, smallest string, biggest string, max_version long, key_count long, size long, stale_size long")
     ids = lambda df: sorted(r.table_id for r in df.collect())
@@ -275,6 +396,49 @@ def test_codecs_round_trip(key, version, value, meta, expires_at):
         assert (found["user_key"], found["version"]) == (key, version)
 
 
+def test_codecs_of_spark_are_the_plain_ones(spark):
+    """Spark's expressions give the bytes of the plain functions."""
+    keys = ["", *HASHES, "漢字", "user:000042"]
+    got = spark.createDataFrame([(k,) for k in keys], "k string").select("k", codecs_sql.bloom_hash(F.col("k")).alias("h")).collect()
+    assert {r.k: r.h for r in got} == {k: codecs.bloom_hash(k.encode()) for k in keys}
+    numbers = [0, 1, 127, 128, 16383, 16384, (1 << 35) + 5, (1 << 62) + 1]
+    got = spark.createDataFrame([(x,) for x in numbers], "x long").select("x", codecs_sql.uvarint(F.col("x")).alias("b")).collect()
+    assert {r.x: bytes(r.b) for r in got} == {x: codecs.put_uvarint(x) for x in numbers}
+    row = spark.createDataFrame([("key1", 77, "value", 5, 1, 300)], "k string, v long, x string, m int, u int, e long")
+    c = F.col
+    got = row.select(codecs_sql.record_bytes(c("k"), c("v"), c("x"), c("m"), c("u"), c("e")).alias("r"), codecs_sql.value_bytes(c("m"), c("u"), c("e"), c("x")).alias("v")).first()
+    assert bytes(got.r) == codecs.encode_record(b"key1", 77, b"value", 5, 1, 300) and bytes(got.v) == codecs.encode_value(5, 1, 300, b"value")
+    assert codecs.decode_entry_header(codecs.encode_entry_header(7, 300)) == (7, 300)
+
+
+def test_counter_mode(spark):
+    """Test vectors of NIST SP 800-38A, F.5.1 and F.5.5, and lengths off the block."""
+    iv, text = bytes(range(0xF0, 0x100)), bytes.fromhex("6bc1bee22e409f96e93d7e117393172aae2d8a571e03ac9c9eb76fac45af8e51")
+    for key, want in (("2b7e151628aed2a6abf7158809cf4f3c", "874d6191b620e3261bef6864990db6ce9806f66b7970fdff8617187bb9fffdff"), ("603deb1015ca71be2b73aef0857d77811f352c073b6108d72d9810a30914dff4", "601ec313775789a5b7a7f504bbf3d228f443e3ca4d62b59aca84e990cacaf5c5")):
+        got = spark.range(1).select(codecs_sql.aes_ctr(F.lit(text), F.lit(bytes.fromhex(key)), F.lit(iv)).alias("c")).first().c
+        assert bytes(got).hex() == want
+        for n in (0, 1, 15, 16, 17):
+            part = spark.range(1).select(codecs_sql.aes_ctr(F.lit(text[:n]), F.lit(bytes.fromhex(key)), F.lit(iv)).alias("c")).first().c
+            assert bytes(part).hex() == want[: 2 * n]
+
+
+def test_registry_file_needs_its_secret(spark, tmp_path):
+    keys = spark.createDataFrame([(1, "one", 10), (2, "two", 20)], "key_id long, data string, created_at long")
+    registry.write(keys, str(tmp_path / "r"), "0123456789abcdef")
+    assert sorted(map(tuple, registry.read(spark, str(tmp_path / "r"), "0123456789abcdef").collect())) == [(1, "one", 10), (2, "two", 20)]
+    with pytest.raises(ValueError, match="secret"):
+        registry.read(spark, str(tmp_path / "r"), "fedcba9876543210")
+
+
+def test_filters_of_tables(spark):
+    log = rows(spark, [(f"k{i}", 1, "") for i in range(300)]).withColumn("table_id", F.col("seq") % 3)
+    pairs = spark.range(4).crossJoin(spark.range(600).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("user_key"))).withColumnRenamed("id", "table_id")
+    got = codecs.probe_filters(codecs.table_filters(log), pairs).collect()
+    assert len(got) == 2400
+    assert all(r.may for r in got if r.table_id == 3 or int(r.user_key[1:]) < 300 and int(r.user_key[1:]) % 3 == r.table_id)
+    assert sum(r.may for r in got if r.table_id < 3) < 300 + 0.03 * 1500
+
+
 def test_key_order(spark):
     assert codecs.encode_key(b"", 10)[-8:] == bytes([255] * 7 + [245])
     keys = spark.createDataFrame([(bytes(range(8)), v) for v in (10, 1000)], "k binary, v long")
@@ -304,7 +468,11 @@ def test_log_files(spark, tmp_path):
             w.append(str(i).encode(), i, str(i).encode() * fid)
     with open(w.path, "ab") as f:
         f.write(codecs.encode_record(b"cut", 1, b"x")[:-2])
+    through_spark = read_wal(spark, str(tmp_path)).orderBy("fid", "offset").collect()
+    late = spark.read.format("kvwal").option("path", str(tmp_path)).option("offset", through_spark[4].offset).load().collect()
+    assert sorted((r.fid, r.offset) for r in late if r.fid == 1) == [(1, r.offset) for r in through_spark[4:10]]
     got = spark.read.format("kvwal").option("path", str(tmp_path)).load().orderBy("fid", "offset").collect()
+    assert list(map(tuple, got)) == list(map(tuple, through_spark))
     assert [(r.fid, bytes(r.user_key), r.version, bytes(r.value)) for r in got] == [(f, str(i).encode(), i, str(i).encode() * f) for f in (1, 2) for i in range(10)]
 
 
@@ -330,6 +498,11 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert published == [32]
+    spark.createDataFrame([(i, False, 1000) for i in range(4)], "stream_id long, stream_done boolean, size long").write.mode("append").parquet(str(tmp_path / "s"))
+    q = follow_threshold(stream, 0.5, published.append).option("checkpointLocation", str(tmp_path / "c3")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert published == [32, 1024]  # a restart goes on with the counts it had
 
 
 def test_rotation_is_the_fold(spark, monkeypatch):
