@@ -20,7 +20,7 @@ neighbouring ones.
 First the points alone go to the cells, and the trees find the pairs that no bound
 rules out. Their components are the families within which sets may link; every
 document of a family brings its text there, once, and is verified by a tree of
-the family. The number of groups grows with the sets (``groups_of``), as chance
+the family; there words themselves are compared with their hashes first. The number of groups grows with the sets (``groups_of``), as chance
 differences of counts grow with its root only. Equal sets are one node from the
 start. Cells with more than ``POINTS`` points meet in pairs of blocks. A family of
 more than ``CELL`` texts is dealt over parts, its smallest document in each of them; what the parts leave
@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, keyed, lookup, materialize, narrowed, only, settle, unique_ids
-from .shingles import shingles
+from .shingles import exact_sets, shingles
 
 WORDS, PERCENT = 4, 85
 LEAST_GROUPS, PAGE, CELL, POINTS = 64, 32, 512, 4096
@@ -76,7 +76,7 @@ def counts(sets: list[np.ndarray], groups: int) -> np.ndarray:
     """The point of each set."""
     out = np.zeros((len(sets), groups), np.int32)
     for k, s in enumerate(sets):
-        out[k] = np.bincount((s >> np.uint64(32)) % np.uint64(groups), minlength=groups)
+        out[k] = np.bincount((s >> np.uint64(32) ^ s) % np.uint64(groups), minlength=groups)
     return out
 
 
@@ -251,12 +251,17 @@ def _edges(docs: list, labels: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["u", "v"])
 
 
+def _sets(texts: list[str], words: int) -> list[np.ndarray]:
+    """Sets to be verified: of hashes, unless two words of these texts share one."""
+    return exact_sets(texts, words) or [shingles(t, words) for t in texts]
+
+
 def _first_links(placed: DataFrame, words: int, percent: int) -> DataFrame:
     """placed: cell, part, doc, text. The naming document is in each part."""
 
     def make(rows: list) -> Iterator[pa.RecordBatch]:
         rows = list({r[2]: r for r in rows}.values())
-        labels = cell_components([shingles(r[3] or "", words) for r in rows], percent)
+        labels = cell_components(_sets([r[3] or "" for r in rows], words), percent)
         yield from _edges([r[2] for r in rows], labels)
 
     sorted_rows = placed.repartition("cell", "part").sortWithinPartitions("cell", "part", "doc")
@@ -268,7 +273,7 @@ def _late_links(placed: DataFrame, words: int, percent: int) -> DataFrame:
 
     def make(rows: list) -> Iterator[pa.RecordBatch]:
         rows = sorted({(r[2], r[3]): r for r in rows}.values(), key=lambda r: r[2:4])
-        sets = [shingles(r[5] or "", words) for r in rows]
+        sets = _sets([r[5] or "" for r in rows], words)
         sizes, cut = np.array([len(s) for s in sets]), sum(not r[2] for r in rows)
         points = counts(sets, groups_of(int(sizes.min())))
         parts, first = Components(len(rows)), {}

@@ -17,6 +17,10 @@ def odd_texts():
     texts += [word() + " " + passage + " " + word() for _ in range(12)]
     texts += [" ".join([*base.split(" ")[:70], *[word() for _ in range(k)]]) for k in range(8)]
     texts += [base + " " + " ".join(word() for _ in range(5000)), passage * 9, "😀 漢字   x　 y   z\r\n  q"]
+    thue = ["ab"[bin(i).count("1") % 2] for i in range(2048)]
+    for n in (1024, 2048):  # words that meet in sums of powers modulo 2^64
+        word_a = "".join(thue[:n])
+        texts += [word_a, word_a.translate(str.maketrans("ab", "ba"))]
     return texts
 
 

@@ -137,6 +137,19 @@ def test_shingles_are_sets(text, k):
     assert (shingles(text, k) == shingles(text.translate(LOWER), k)).all()
 
 
+def test_words_that_share_a_hash_are_told_apart(monkeypatch):
+    import kvlattice.llm.shingles as module
+
+    texts = ["a b c d e", "a b c d f", "", "a b c d e f", "A b\tc d e"]
+    assert module.exact_sets(texts, 4) is None
+    monkeypatch.setattr(module, "word_hashes", lambda text: np.ones(len(text.split()), np.uint64))
+    sets = module.exact_sets(texts, 4)
+    assert [len(s) for s in sets] == [2, 2, 0, 3, 2]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert len(np.intersect1d(a, b)) == len(shingle_set(texts[i], 4) & shingle_set(texts[j], 4))
+
+
 # ---- suffixes
 
 
