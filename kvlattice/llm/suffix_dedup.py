@@ -28,12 +28,14 @@ bytes. A core with more than ``GROUP`` windows is split by start: half of the
 starts has a longer core in common, down to one start, whose core is the whole
 string and whose earliest place is an aggregate. So no group is unbounded.
 
-Windows are told apart by two 64-bit hashes (core and whole); the texts of all
-that have a core in common but differ meet in the merge.
+Windows that have a core in common are told apart by a cryptographic digest
+(BLAKE2b, 64 bits of it, beside the 64 bits of the core); the texts of all that
+differ meet in the merge, which compares bytes.
 
 Defined cases: null text is empty; nothing is removed from texts shorter than
 LENGTH; equal doc_ids, and null ones, which come first, are told apart by text;
-an empty table gives no rows; further columns are ignored or, in
+repeated rows are documents of their own, of which the later ones lose all;
+very long texts are whole; an empty table gives no rows; further columns are ignored or, in
 ``remove_repeats``, passed on.
 """
 
@@ -86,8 +88,9 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, ...]:
     x = place[first]
     a, b = x - first, x - last
     core = mix((total[x + CORE] - total[x]) * down[x])
-    whole = mix((total[last + LENGTH] - total[first]) * down[first] + (a * WINDOW + b).astype(np.uint64))
-    return x, a, b, core, whole
+    text, digest = data.tobytes(), hashlib.blake2b
+    found = b"".join([digest(text[i : j + LENGTH], digest_size=8).digest() for i, j in zip(first.tolist(), last.tolist(), strict=True)])
+    return x, a, b, core, np.frombuffer(found, "<u8") ^ mix((a * WINDOW + b).astype(np.uint64))
 
 
 def pack(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -331,7 +334,7 @@ def _group_repeats(windows: DataFrame) -> list[DataFrame]:
 def _single_starts(now: DataFrame) -> DataFrame:
     """One start each: the string itself is the group, and the earliest stays."""
     string = F.substring(F.col("window"), (F.lit(WINDOW) - F.col("part")).cast("int"), F.lit(LENGTH))
-    each = materialize(now.select(F.md5(string).alias("string"), "key", (F.col("x") - F.col("part")).alias("start")), "strings")
+    each = materialize(now.select(F.sha2(string, 256).alias("string"), "key", (F.col("x") - F.col("part")).alias("start")), "strings")
     first = each.groupBy("string").agg(F.min(F.struct("key", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     both = lookup(each, materialize(first, "first-strings"), ["string"], "n")
     later = (F.col("key") != F.col("first.key")) | (F.col("start") != F.col("first.start"))
