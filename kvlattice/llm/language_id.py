@@ -4,18 +4,24 @@ A text's subwords are the n-grams of 1 to 4 bytes of its lower-cased (A-Z)
 UTF-8 form, hashed into ``BUCKETS``. The mean of their embeddings goes through
 a linear layer and a softmax. Both layers are trained by stochastic gradient
 descent in numpy, on the driver, from at most ``PER_LANGUAGE`` documents of each
-of the ``LANGUAGES`` most frequent languages and at most ``MAX_ROWS`` in all: those
-with the smallest hash of their doc_id. Their features are made on the executors from whole texts. A fifth of
-the sample sets the softmax temperature and the score under which a prediction
-is rejected.
+language and at most ``MAX_ROWS`` in all (with more than MAX_ROWS / PER_LANGUAGE
+languages an equal part of them for each, one at least): those with the smallest
+hash of their doc_id. Their features are made on the executors from whole texts.
+A fifth of the sample sets the softmax temperature and the score under which a
+prediction is rejected.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and
-is rejected; a table without labelled rows makes every prediction ``und``; ties
-go to the language that sorts first; repeated rows are predicted one by one.
+is rejected; a table without labelled rows makes every prediction ``und``, and
+then ``keep_identified`` keeps every text with a letter; ties go to the language
+that sorts first; repeated rows are predicted one by one, and of rows with one
+doc_id one is learned from; rows without doc_id are predicted only; very long
+texts are read whole, in chunks; further columns, whatever their names, are
+ignored or, in ``keep_identified``, passed on; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS, DIM, ORDERS = 8192, 16, (1, 2, 3, 4)
-PER_LANGUAGE, MAX_ROWS, LANGUAGES = 500, 4000, 64
+PER_LANGUAGE, MAX_ROWS = 500, 4000
 EPOCHS, RATE, BATCH, SEED = 30, 20.0, 32, 7
 #: Share of correctly predicted calibration rows that rejection may cost, and
 #: the score above which nothing is rejected.
@@ -119,21 +125,21 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Trains on rows of ``docs`` for which ``usable`` holds."""
-    rows = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("long")).alias("h")).filter("id is not null")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    labelled = docs.filter(usable & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("long")).alias("h"))
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_ROWS).collect()}
     if not sizes:
         return train(np.zeros((0, BUCKETS)), [])
-    # a little more than is wanted of each language, by the place of the hash in its range
-    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 1.2 * PER_LANGUAGE / n))])
-    near = rows.filter(F.col("h") / float(1 << 64) + 0.5 <= F.element_at(shares, F.col("lang")))
-    ranked: dict[str, list[tuple[int, int]]] = {}
+    quota = max(1, min(PER_LANGUAGE, MAX_ROWS // len(sizes)))
+    # somewhat more than is wanted of each language, by the place of the hash in its range
+    wanted = quota + 4 * math.sqrt(quota) + 8
+    shares = spark_rows(docs, [(lang, min(1.0, wanted / n)) for lang, n in sizes.items()], "lang string, share double")  # MAX_ROWS rows at most
+    near = rows.join(F.broadcast(shares), "lang").filter(F.col("h") / float(1 << 64) + 0.5 <= F.col("share"))
+    near = near.select("lang", "h", "id").distinct().orderBy("h", "lang", "id").limit(4 * MAX_ROWS)
+    ranked: dict[str, list[int]] = {}
     for r in near.collect():
-        ranked.setdefault(r.lang, []).append((r.h, r.id))
-    first = [(k, lang, i) for lang, found in ranked.items() for k, (_, i) in enumerate(sorted(found)[:PER_LANGUAGE])]
-    ids = sorted({i for _, _, i in sorted(first)[:MAX_ROWS]})
-    if not ids:
-        return train(np.zeros((0, BUCKETS)), [])
+        ranked.setdefault(r.lang, []).append(r.id)
+    ids = sorted({i for found in ranked.values() for i in found[:quota]})[:MAX_ROWS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,17 +151,23 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
                     out.append({"id": i, "lang": lang, "at": at.astype("<u2").tobytes(), "share": (c[at] / c.sum()).astype("<f4").tobytes()})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("id", pa.int64()), ("lang", pa.string()), ("at", pa.binary()), ("share", pa.binary())]))
 
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "id long")  # at most MAX_ROWS ids
-    texts = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    texts = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    made = texts.join(F.broadcast(wanted), "id", "left_semi").mapInArrow(run, "id long, lang string, at binary, share binary").collect()
-    made = sorted(made, key=lambda r: (hash_order(r.id), r.lang, bytes(r.share)))[:MAX_ROWS]
+    chosen = spark_rows(docs, [(i,) for i in ids], "id long")  # MAX_ROWS ids at most
+    texts = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    texts = texts.join(F.broadcast(chosen), "id", "left_semi")
+    # one row for each id, however many have it
+    one = texts.groupBy("id").agg(F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text", "lang"), F.col("lang"))).alias("r"))
+    made = one.select("id", "r.text", "r.lang").mapInArrow(run, "id long, lang string, at binary, share binary").collect()
+    made = sorted(made, key=lambda r: hash_order(r.id))
     x = np.zeros((len(made), BUCKETS), np.float32)
     for k, r in enumerate(made):
         x[k, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["share"], "<f4")
     return train(x, [r.lang for r in made])
 
 
+def spark_rows(docs: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    return docs.sparkSession.createDataFrame(rows, schema)
+
+
 def hash_order(i: int) -> int:
     return (i * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 20
 
@@ -185,6 +197,8 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([not model.predict(x)[2] for x in batch.column(at).to_pylist()], pa.bool_()))
+            texts = batch.column(at).to_pylist()
+            keep = [not model.predict(x)[2] for x in texts] if model.languages else [bool(x and LETTER.search(x)) for x in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in kinds))
