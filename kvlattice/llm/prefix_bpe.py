@@ -13,8 +13,12 @@ have been merged before the merge that was undone last.
 So a text can grow (``append`` reads only the new bytes) and change in place
 (``replace`` stops as soon as the last tokens are what they were before).
 
-Pieces are the matches of the tokenizer's pattern. Null text is empty text and
-has no tokens; strings of special tokens are ordinary text.
+Pieces are the matches of the tokenizer's pattern.
+
+Defined cases: null text is empty text and has no tokens; strings of special
+tokens are ordinary text; repeated rows are encoded one by one; a very long text
+is encoded whole, with memory in proportion to it; an empty table gives no rows;
+further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +33,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .memo import Memo, cut
+from .units import BYTE_LEVEL, Memo, blocks, cut_pieces, encode_block, find_pieces, gather, laid
 
-#: Distinct words and pieces that a worker keeps, for each of two generations.
-MEMO_WORDS, MEMO_PIECES, MEMO_PAIRS = 200_000, 250_000, 400_000
+#: Distinct pieces, and pairs of tokens, that a worker keeps between blocks, for
+#: each of two generations: some 80 MB, which go when its rows end.
+MEMO_PIECES, MEMO_PAIRS = 150_000, 300_000
 
 
 class PrefixBPE:
@@ -138,33 +143,44 @@ class PrefixEncoding:
 
 
 class TextCodec:
-    """Encodes and decodes whole texts; words and pieces are cached."""
+    """Encodes and decodes whole texts; the pieces of a block are encoded once."""
 
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
-        self.bpe, self.find = PrefixBPE(ranks), regex.compile(pattern).findall
-        self.pieces = Memo(lambda piece: np.array(self.bpe.encode(piece.encode()), "<u4").tobytes(), MEMO_PIECES)
-        self.spaced = Memo(lambda word: self._pieces(" " + word), MEMO_WORDS)
+        self.bpe, self.find = PrefixBPE(ranks), None if pattern == BYTE_LEVEL else regex.compile(pattern).findall
+        self.memo = Memo(lambda piece: np.array(self.bpe.encode(piece.encode()), "<u4").tobytes(), MEMO_PIECES)
+        tokens, decimals = self.bpe.tokens, [b" %d" % k for k in range(self.bpe.size)]
+        self.bytes = *laid(tokens), np.frombuffer(b"".join(tokens), np.uint8)
+        self.decimals = *laid(decimals), np.frombuffer(b"".join(decimals), np.uint8)
+
+    def _cut(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        return find_pieces(texts, self.find) if self.find else cut_pieces(texts, False)
 
-    def _pieces(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, end to end, and how many each one has."""
+        return encode_block(texts, self._cut, self.memo.__getitem__)
 
     def encode(self, text: str) -> np.ndarray:
-        for memo in (self.spaced, self.pieces, self.bpe.pairs):
-            memo.trim()
-        first, *rest = cut(text)
-        return np.frombuffer(self._pieces(first) + b"".join(map(self.spaced.__getitem__, rest)), "<u4")
+        return self.encode_texts([text])[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return self.bpe.decode(ids.tolist())
+        return gather(ids.astype(np.int64), *self.bytes).tobytes()
+
+    def decimal(self, ids: np.ndarray) -> bytes:
+        """The ids as decimals with one space between."""
+        return gather(ids.astype(np.int64), *self.decimals).tobytes()[1:]
+
+    def forget(self) -> None:
+        self.memo.forget()
+        self.bpe.pairs.forget()
 
 
 _codecs: dict[tuple[str, str], TextCodec] = {}
 
 
 def codec(path: str, pattern: str) -> TextCodec:
-    """One for each worker process, whose tasks share its caches."""
+    """One for each worker process."""
     if (path, pattern) not in _codecs:
         _codecs[path, pattern] = TextCodec(path, pattern)
     return _codecs[path, pattern]
@@ -176,14 +192,17 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path, pattern)
-        for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                ids = tool.encode(text or "").tolist()
-                decimal = " ".join(map(str, ids)).encode()
-                out.append((len(ids), hashlib.sha256(decimal).hexdigest(), hashlib.sha256(tool.bpe.decode(ids)).hexdigest()))
-            n, a, b = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for block in blocks(batches):
+                ids, counts = tool.encode_texts([t or "" for t in block.column(1).to_pylist()])
+                out, at = [], 0
+                for n in counts.tolist():
+                    own, at = ids[at : at + n], at + n
+                    out.append((n, hashlib.sha256(tool.decimal(own)).hexdigest(), hashlib.sha256(tool.decode(own)).hexdigest()))
+                n, a, b = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            tool.forget()
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

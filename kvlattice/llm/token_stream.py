@@ -12,7 +12,9 @@ the attempt that won.
 
 Defined cases: null text is empty text, and a document always has its end id;
 null doc_ids come first; repeated rows are documents of their own; rows with
-one doc_id are in the order of their texts; an empty table writes no file.
+one doc_id are in the order of their texts; a very long text spans sequences and
+record batches; further columns, whatever their names, are ignored; an empty
+table writes no file.
 """
 
 from __future__ import annotations
@@ -64,7 +66,7 @@ class SequenceWriter:
         if self.n_waiting >= self.length * SEQUENCES:
             self._flush(self.n_waiting // (self.length * SEQUENCES) * SEQUENCES)
 
-    def add_documents(self, doc_ids: pa.Array, n_tokens: list[int]) -> None:
+    def add_documents(self, doc_ids: pa.Array, n_tokens: np.ndarray) -> None:
         self.docs.write_batch(pa.record_batch([doc_ids, pa.array(n_tokens, pa.int64())], ["doc_id", "n_tokens"]))
 
     def _flush(self, n: int) -> None:
@@ -144,23 +146,19 @@ def write_stream(docs: DataFrame, tokenizer: str, folder: str | None = None, id_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer)
         dtype = "<u2" if max(tool.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else "<u4"
-        out, n_docs, end = None, 0, np.array([end_id], "<u4")
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            out, counts = out or SequenceWriter(folder, length, dtype), []
-            for text in batch.column(1).to_pylist():
-                ids = np.append(np.frombuffer(tool.encode(text or ""), "<u4"), end)
-                counts.append(len(ids))
-                out.add(ids)
-            out.add_documents(batch.column(0), counts)
+        out, n_docs = None, 0
+        for block, ids, counts in tool.encode_rows(batches, end_id):
+            out = out or SequenceWriter(folder, length, dtype)
+            out.add(ids)
+            out.add_documents(block.column(0), counts)
             n_docs += len(counts)
         if out:
             out.close()
             yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "path": out.path, "n_ids": out.n_ids, "n_docs": n_docs}])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # by the text's start too, so rows that share a doc_id can be dealt out
+    rows = rows.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     files, start = [], 0
     for x in sorted(rows.mapInArrow(run, "part long, path string, n_ids long, n_docs long").collect()):
         files.append((x.path, start, x.n_ids, x.n_docs))
