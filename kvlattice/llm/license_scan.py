@@ -1,17 +1,19 @@
 """License detection by ordered signature rules.
 
 A text becomes its words (A-Z lower-cased; runs of digits, letters and all
-characters beyond ASCII) with one space between. A rule is a regex over these
-words with a label, keywords and a priority. One pass of an Aho-Corasick
-automaton finds which keywords occur, so a rule's regex runs only on texts that
-can match it. Detections are taken in the order of priority, then length, then
+characters beyond ASCII) with one space between. A rule is a hand-written regex
+over these words with a label and a priority (``license_rules``). Its keywords are
+read off the regex: strings of which every match holds one. One pass of an
+Aho-Corasick automaton finds which occur, so a rule's regex runs only on texts
+that may match it, and none that does is passed over. Detections are taken in the order of priority, then length, then
 start; one whose interval lies inside that of a detection taken before is
 suppressed. Base phrases are rules of the highest priority that nothing
 suppresses, and every place of theirs counts.
 
 Defined cases: null text is empty text (no words, no labels, score 0); repeated
-rows are scanned one by one; an empty table gives no rows; other columns are
-ignored.
+rows are scanned one by one; a very long text is scanned whole, with memory in
+proportion to it; an empty table gives no rows; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import accumulate
 
 import ahocorasick
@@ -28,130 +31,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The base phrases and their labels.
-BASE = {
-    "under the mit license": "mit",
-    "apache license version 2": "apache-2",
-    "cc by nc": "cc-by-nc",
-}
-
-V = r"(?: version| v)?"
-# Label, keywords of which any match holds one, regex of the license's name.
-NAMES = [
-    ("mit", "mit", r"(?:x11 )?mit"),
-    ("mit-0", "attribution", r"mit no attribution"),
-    ("apache-1.1", "apache", rf"apache(?: software)?(?: license)?{V} 1 1"),
-    ("apache-2", "apache", rf"apache(?: software)?(?: license)?{V} 2(?: 0)?"),
-    ("bsd-2-clause", "bsd|freebsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
-    ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
-    ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)"),
-    ("bsd-0", "0bsd", r"(?:zero clause )?0bsd"),
-    ("gpl-2", "gpl|gpl2", rf"(?:gnu )?gpl{V} ?2(?: 0)?(?: only| or later)?"),
-    ("gpl-3", "gpl|gpl3", rf"(?:gnu )?gpl{V} ?3(?: 0)?(?: only| or later)?"),
-    ("gpl-2", "general", rf"gnu general public license{V} 2(?: 0)?"),
-    ("gpl-3", "general", rf"gnu general public license{V} 3(?: 0)?"),
-    ("gpl", "general", r"gnu general public"),
-    ("lgpl-2.1", "lgpl|lgpl2", rf"(?:gnu )?lgpl{V} ?2 1"),
-    ("lgpl-3", "lgpl|lgpl3", rf"(?:gnu )?lgpl{V} ?3(?: 0)?"),
-    ("lgpl-2.1", "lesser", rf"gnu lesser general public license{V} 2 1"),
-    ("lgpl-3", "lesser", rf"gnu lesser general public license{V} 3(?: 0)?"),
-    ("lgpl", "lesser|library", r"gnu (?:lesser|library) general public"),
-    ("agpl-3", "agpl|agpl3", rf"(?:gnu )?agpl{V} ?3(?: 0)?"),
-    ("agpl-3", "affero", rf"gnu affero general public(?: license{V} 3(?: 0)?)?"),
-    ("mpl-1.1", "mozilla", rf"mozilla public(?: license)?{V} 1 1"),
-    ("mpl-2", "mozilla", rf"mozilla public(?: license)?{V} 2(?: 0)?"),
-    ("mpl-2", "mpl", rf"mpl{V} 2(?: 0)?"),
-    ("epl-1", "eclipse", rf"eclipse public(?: license)?{V} 1 0"),
-    ("epl-2", "eclipse", rf"eclipse public(?: license)?{V} 2 0"),
-    ("cddl-1", "cddl", rf"cddl{V} 1(?: [01])?"),
-    ("cddl-1", "development", r"common development and distribution"),
-    ("cpl-1", "common", rf"common public license{V} 1 0"),
-    ("isc", "isc", r"isc"),
-    ("zlib", "zlib", r"zlib(?: libpng)?"),
-    ("boost-1", "boost", rf"boost software(?: license)?(?:{V} 1 0)?"),
-    ("artistic-2", "artistic", rf"artistic(?: license)?{V} 2(?: 0)?"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl"),
-    ("ofl-1.1", "ofl", rf"(?:sil )?ofl{V} 1 1"),
-    ("ofl-1.1", "font", rf"sil open font(?: license)?(?:{V} 1 1)?"),
-    ("psf-2", "python", r"python software foundation"),
-    ("postgresql", "postgresql", r"postgresql"),
-    ("ms-pl", "microsoft", r"microsoft public"),
-    ("ms-rl", "microsoft", r"microsoft reciprocal"),
-    ("eupl-1.2", "eupl", rf"eupl{V} 1 2"),
-    ("eupl-1.2", "union", rf"european union public(?: licence{V} 1 2)?"),
-    ("osl-3", "open", rf"open software license{V} 3 0"),
-    ("upl-1", "permissive", r"universal permissive"),
-    ("bsl-1.1", "business", r"business source license(?: 1 1)?"),
-    ("sspl-1", "server", r"server side public"),
-    ("elastic-2", "elastic", r"elastic license(?: 2 0)?"),
-    ("odbl-1", "database", r"open (?:data commons open )?database"),
-    ("cc0-1", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by-nc-nd", "cc", r"cc by nc nd(?: [234] 0)?"),
-    ("cc-by-nc-sa", "cc", r"cc by nc sa(?: [234] 0)?"),
-    ("cc-by-nc", "cc", r"cc by nc(?: [234] 0)?"),
-    ("cc-by-nd", "cc", r"cc by nd(?: [234] 0)?"),
-    ("cc-by-sa", "cc", r"cc by sa(?: [234] 0)?"),
-    ("cc-by", "cc", r"cc by(?: [234] 0)?"),
-    ("cc-by-nc-nd", "noderivatives", r"creative commons attribution noncommercial noderivatives"),
-    ("cc-by-nc-nd", "derivatives", r"creative commons attribution non commercial no derivatives"),
-    ("cc-by-nc-sa", "sharealike", r"creative commons attribution non ?commercial sharealike"),
-    ("cc-by-nc", "attribution", r"creative commons attribution non ?commercial"),
-    ("cc-by-sa", "attribution", r"creative commons attribution share ?alike"),
-    ("cc-by", "attribution", r"creative commons attribution"),
-]
-# Priority, weight and shape of a notice; {} is the name.
-NOTICES = [
-    (5, 0.95, r"spdx license identifier {}"),
-    (4, 0.9, r"(?:is |are )?(?:licensed|released|distributed|available|published|provided|covered) (?:under|by) (?:the )?(?:terms of (?:the )?)?{}(?: licen[sc]e)?"),
-    (4, 0.85, r"under (?:the )?(?:terms of (?:the )?)?{} licen[sc]e"),
-    (3, 0.8, r"(?:subject to|according to|permitted by) (?:the )?(?:terms of (?:the )?)?{} licen[sc]e"),
-    (2, 0.6, r"licen[sc]e (?:is )?{}"),
-    (1, 0.5, r"{} licen[sc]e"),
-]
-# Label, keyword, priority, weight, regex of a license's own words.
-TEXTS = [
-    ("mit", "charge", 6, 0.99, r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("isc", "purpose", 6, 0.99, r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", "redistribution", 6, 0.95, r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("apache-2", "apache", 6, 0.99, r"licensed under the apache license version 2(?: 0)?(?: the license)?"),
-    ("gpl", "redistribute", 6, 0.95, r"you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("unlicense", "unencumbered", 6, 0.99, r"this is free and unencumbered software released into the public domain"),
-    ("zlib", "altered", 6, 0.9, r"altered source versions must be plainly marked as such"),
-    ("boost-1", "permission", 6, 0.9, r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
-    ("public-domain", "domain", 2, 0.6, r"(?:released|placed|dedicated) (?:in|into|to) the public domain"),
-    ("proprietary", "reserved", 1, 0.3, r"all rights reserved"),
-    ("proprietary", "confidential", 2, 0.5, r"proprietary and confidential"),
-    ("cc0-1", "creativecommons", 5, 0.9, r"creativecommons org publicdomain zero 1 0"),
-    ("cc-by", "creativecommons", 5, 0.9, r"creativecommons org licenses by [234] 0"),
-    ("cc-by-sa", "creativecommons", 5, 0.9, r"creativecommons org licenses by sa [234] 0"),
-    ("cc-by-nc", "creativecommons", 5, 0.9, r"creativecommons org licenses by nc [234] 0"),
-    ("cc-by-nd", "creativecommons", 5, 0.9, r"creativecommons org licenses by nd [234] 0"),
-    ("cc-by-nc-sa", "creativecommons", 5, 0.9, r"creativecommons org licenses by nc sa [234] 0"),
-    ("cc-by-nc-nd", "creativecommons", 5, 0.9, r"creativecommons org licenses by nc nd [234] 0"),
-    ("apache-2", "apache", 5, 0.9, r"apache org licenses license 2 0"),
-    ("mit", "opensource", 5, 0.9, r"opensource org licenses mit"),
-    ("gpl", "gnu", 4, 0.7, r"gnu org licenses gpl"),
-    ("mpl-2", "mozilla", 5, 0.9, r"mozilla org mpl 2 0"),
-]
-
-
-@dataclass(frozen=True)
+from .license_rules import AMBIGUOUS, BASE, GROUPS, SPDX
+
+@dataclass(eq=False)
 class Rule:
     label: str
-    keyword: str
     priority: int
     weight: float
-    regex: re.Pattern
+    pattern: str
     base: bool = False
 
+    @cached_property
+    def regex(self) -> re.Pattern:
+        if self.base:
+            return re.compile(f"(?= {self.pattern} )")  # places may overlap
+        body = self.pattern.removeprefix("^").removesuffix("$")
+        return re.compile("^" * self.pattern.startswith("^") + f" {body}(?= " + "$" * self.pattern.endswith("$") + ")")
+
+    @cached_property
+    def keywords(self) -> frozenset[str]:
+        """Strings of which every match holds one."""
+        return frozenset([self.pattern]) if self.base else held(self.pattern.strip("^$"))
+
+
+TOKEN = re.compile(r"\(\?:|\||\)\??|[a-z0-9 ]\??")
+
+
+def parsed(pattern: str) -> list[tuple]:
+    """A regex as a list of (alternatives, whether they may be absent); an
+    alternative is such a list, and a literal has itself as the only one."""
+    tokens = TOKEN.findall(pattern)
+    if "".join(tokens) != pattern:
+        raise ValueError(f"not a signature: {pattern}")
+
+    def read(at: int) -> tuple[list[list[tuple]], int]:
+        branches: list[list[tuple]] = [[]]
+        while at < len(tokens):
+            t = tokens[at]
+            if t == "(?:":
+                inner, at = read(at + 1)
+                branches[-1].append((inner, tokens[at].endswith("?")))
+            elif t == "|":
+                branches.append([])
+            elif t[0] == ")":
+                return branches, at
+            else:
+                branches[-1].append((t[0], t.endswith("?")))
+            at += 1
+        return branches, at
+
+    branches, _ = read(0)
+    return branches[0] if len(branches) == 1 else [(branches, False)]
+
+
+def held(pattern: str | list[tuple]) -> frozenset[str]:
+    """Strings of which every match holds one: the run of literals, or the group,
+    whose shortest string is longest."""
+    choices: list[frozenset[str]] = []
+    run = ""
+    for item, optional in [*(parsed(pattern) if isinstance(pattern, str) else pattern), ("", True)]:
+        if isinstance(item, str) and not optional:
+            run += item
+            continue
+        choices.append(frozenset([run]))
+        run = ""
+        if not isinstance(item, str) and not optional:
+            choices.append(frozenset().union(*map(held, item)))
+    return max(choices, key=lambda c: (min(map(len, c)), -len(c)))
+
 
 def rules() -> list[Rule]:
     """All rules, base phrases first, then by priority."""
-    out = [Rule(label, f" {phrase} ", 9, 1.0, re.compile(f"(?= {phrase} )"), True) for phrase, label in BASE.items()]
-    for label, keyword, name in NAMES:
-        out += [Rule(label, keyword, p, w, re.compile(" " + shape.format(f"(?:{name})") + "(?= )")) for p, w, shape in NOTICES]
-    out += [Rule(label, keyword, p, w, re.compile(f" {x}(?= )")) for label, keyword, p, w, x in TEXTS]
+    out = [Rule(label, 9, 1.0, phrase, True) for phrase, label in BASE.items()]
+    for group, priority, weight in GROUPS:
+        out += [Rule(label, priority, weight, pattern) for label, pattern in group]
+    for name, label in SPDX.items():
+        out += [Rule(label, 5, 0.95, f"spdx license identifier {name}"), Rule(label, 4, 0.9, f"licen(?:s|c)e {name}"), Rule(label, 3, 0.8, f"^{name}$" if name in AMBIGUOUS else name)]
     return sorted(out, key=lambda r: -r.priority)
 
 
@@ -200,7 +155,7 @@ class Scanner:
         self.keys = ahocorasick.Automaton()
         by_key: dict[str, list[int]] = {}
         for k, rule in enumerate(self.rules):
-            for key in [rule.keyword] if rule.base else [f" {x} " for x in rule.keyword.split("|")]:
+            for key in rule.keywords:
                 by_key.setdefault(key, []).append(k)
         for key, ids in by_key.items():
             self.keys.add_word(key, ids)
@@ -221,7 +176,7 @@ class Scanner:
                     spaces = spaces or [i for i, c in enumerate(words) if c == " "]
                     places.append(bisect_right(spaces, m.start()) - 1)
                     base.add(rule.label)
-                    found.append((m.start(), m.start() + len(rule.keyword) - 1, rule))
+                    found.append((m.start(), m.start() + len(rule.pattern) + 1, rule))
                 else:
                     found.append((m.start(), m.end(), rule))
         taken = resolve(found)
