@@ -226,23 +226,40 @@ def test_top_k(spark, n, dim, hot, monkeypatch):
         rows += [(None, [1.0] * dim, 1), (5000, None, 1), (5001, [None] * dim, 1), (5002, [float("nan")] * dim, 1), (5003, [float("inf")] * dim, 1), (5004, [1.0], 1), (5005, [], 1), (5006, rows[7][1], 1)]
     monkeypatch.setattr(pivot_topk, "SAMPLE", 64)
     monkeypatch.setattr(pivot_topk, "BLOCK_BYTES", 1024)
+    monkeypatch.setattr(pivot_topk, "SHARE", 3)
+    monkeypatch.setattr(pivot_topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(pivot_topk, "PER_TASK", 2)  # several tasks hold a share
     df = spark.createDataFrame(rows, VECTORS)
+    for c in ("id", "v", "pivot", "rank", "block", "share"):
+        df = df.withColumn(c, F.lit("x"))
     got = pivot_topk.top_k(df, df.filter("vec_id % 100 = 0")).collect()
     assert sorted(map(tuple, got)) == top_brute(df.collect())
 
 
-def test_index_prunes(spark, small, monkeypatch):
-    """Clustered vectors: most annuli are never paired with a query."""
+def test_index_prunes(spark, monkeypatch):
+    """Clusters whose members' ids lie apart: blocks of neighbouring queries reach
+    few shares, and the shares grow with the rows."""
     prepare(spark)
-    rng = np.random.default_rng(1)
-    centres = rng.normal(0, 1, (8, 16)) * 5
-    df = spark.createDataFrame([(i, (centres[i % 8] + rng.normal(0, 0.05, 16)).tolist(), 1) for i in range(3000)], VECTORS)
-    rows = pivot_topk.integers(df, "vec_id", "embedding")
-    pivots = pivot_topk.fit(rows)
     monkeypatch.setattr(pivot_topk, "BLOCK_BYTES", 1024)
-    index = pivot_topk.build(rows, pivots)
-    assert index.agg(F.sum("n")).first()[0] == 3000
-    shares = {r.pivot: 1 for r in index.select("pivot").distinct().collect()}
-    blocks = pivot_topk.query_blocks(rows.filter("id = 100"), pivots, shares, 10)
-    pairs = blocks.join(index, "pivot").filter("high >= near and low <= far").count()
-    assert 0 < pairs < 0.4 * index.count()
+    monkeypatch.setattr(pivot_topk, "SHARE", 2)
+    monkeypatch.setattr(pivot_topk, "QUERY_BLOCK", 8)
+    counts = []
+    for n in (1500, 3000):
+        rng = np.random.default_rng(1)
+        centres = rng.normal(0, 1, (8, 16)) * 5
+        df = spark.createDataFrame([(i, (centres[i % 8] + rng.normal(0, 0.05, 16)).tolist(), 1) for i in range(n)], VECTORS)
+        rows = pivot_topk.integers(df, "vec_id", "embedding")
+        pivots = pivot_topk.fit(rows)
+        assert pivot_topk.LEAST_PIVOTS <= len(pivots.centres) <= 64
+        index = pivot_topk.build(rows, pivots)
+        assert index.agg(F.sum("n")).first()[0] == n
+        assert index.groupBy("share").agg(F.countDistinct("pivot").alias("p"), F.count("*").alias("a")).filter("p > 1 or a > 2").count() == 0
+        shares = index.groupBy("pivot", "share").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        spans = {r.pivot: (r.low, r.high) for r in shares.groupBy("pivot").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()}
+        placed = pivot_topk.place(rows.filter("id % 50 = 0"), pivots, 10).withColumn("kth", F.lit(None).cast("double"))
+        blocks = [pivot_topk.query_blocks(placed, pivots, spans, own) for own in (True, False)]
+        pairs = sum(b.join(shares, "pivot").filter("high >= near and low <= far").count() for b in blocks)
+        every = blocks[0].select("block").distinct().count() * shares.count()
+        assert 0 < pairs < 0.4 * every
+        counts.append(shares.count())
+    assert counts[1] > 1.4 * counts[0]
