@@ -21,11 +21,15 @@ Defined cases: roles are compared without case and spaces around them, and
 ``ALIASES`` are known; a null or unknown role takes any role for the cost of an
 unknown one; null text is empty; rows without conv_id are one conversation;
 null turns come first, and equal ones are in the order of role and text;
-repeated rows are turns of their own; an empty table gives no rows.
+repeated rows are turns of their own; strings of the markers in a text are
+broken by a space behind their "<", so that no text starts or ends a message;
+a very long text is rendered whole, in its own row; further columns, whatever
+their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -138,13 +142,19 @@ def header(role: int) -> str:
 
 
 FOOTER, BETWEEN = "<|im_end|>\n", "\n\n"
+MARKER = re.compile(r"<(?=\|im_(?:start|end)\|>)")
+
+
+def harmless(text: str) -> str:
+    """The text without a marker of messages."""
+    return MARKER.sub("< ", text)
 
 
 def pieces(moves: list[tuple], texts: list[str], messages: int, last: bool) -> Iterator[tuple]:
     """new_role, action, inserted, message, rendered of each turn. ``messages``
     come before the first turn; ``last``: the conversation ends here."""
     for k, ((state, to, _, added, action, way), text) in enumerate(zip(moves, texts, strict=True)):
-        messages += added
+        messages, text = messages + added, harmless(text)
         if added:
             shown = (FOOTER if state != START else "") + "".join(header(r) + FOOTER for r in way) + header(to) + text
         else:
@@ -192,8 +202,8 @@ def chain(parts: list[dict]) -> dict[tuple[int, int], tuple[int, int, int, bool,
     return plan
 
 
-SCHEMA = "conv_id long, turn long, role string, new_role string, action string, inserted string, inserted_after string, message long, rendered string"
-_FIELDS = [("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("new_role", pa.string()), ("action", pa.string()), ("inserted", pa.string()), ("inserted_after", pa.string()), ("message", pa.int64()), ("rendered", pa.string())]
+SCHEMA = "conv_id long, place long, turn long, role string, new_role string, action string, inserted string, inserted_after string, message long, rendered string"
+_FIELDS = [("conv_id", pa.int64()), ("place", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("new_role", pa.string()), ("action", pa.string()), ("inserted", pa.string()), ("inserted_after", pa.string()), ("message", pa.int64()), ("rendered", pa.string())]
 
 
 def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple], bool, bool]]:
@@ -211,7 +221,8 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, lis
 
 
 def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per turn: conv_id, turn, role, new_role, action, inserted (roles
+    """One row per turn: conv_id, place (in the order of ``place`` the rendered
+    pieces are the conversation), turn, role, new_role, action, inserted (roles
     of empty messages before it), inserted_after (behind the last one), message
     (from 0) and rendered."""
     picked = rows.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
@@ -248,7 +259,7 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
             entry, end, before, _, ends = spans or (START, None, 0, True, True)
             moves = repair([role_of(t[4]) for t in turns], entry, end)
             done = pieces(moves, [t[5] or "" for t in turns], before, ends)
-            out += [(t[1], t[3], t[4], *p) for t, p in zip(turns, done, strict=True)]
+            out += [(t[1], t[2], t[3], t[4], *p) for t, p in zip(turns, done, strict=True)]
             if len(out) > 4096:
                 yield batch()
                 out = []
