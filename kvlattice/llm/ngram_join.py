@@ -51,7 +51,7 @@ from .shingles import exact_sets, shingles
 
 WORDS, PERCENT = 4, 85
 LEAST_GROUPS, PAGE, CELL, POINTS = 64, 32, 512, 4096
-SAMPLE, FREQUENT = 1000, 4
+SAMPLE, FREQUENT, LISTED = 16_384, 4, 100_000
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -185,6 +185,13 @@ def possible(points: np.ndarray, sizes: np.ndarray, native: np.ndarray, percent:
     return labels
 
 
+def among(x: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which of x are in a sorted list that may be much longer."""
+    if not len(listed):
+        return np.zeros(len(x), bool)
+    return listed[np.minimum(np.searchsorted(listed, x), len(listed) - 1)] == x
+
+
 def _described(docs: DataFrame, words: int, percent: int, frequent: np.ndarray | None) -> DataFrame:
     """doc, n, same (identity of the set), point, and keys (the set's prefix)."""
 
@@ -194,8 +201,8 @@ def _described(docs: DataFrame, words: int, percent: int, frequent: np.ndarray |
             for text in batch.column(1).to_pylist():
                 s = shingles(text or "", words)
                 first = s[: prefix_length(len(s), percent)] if len(s) else s
-                if frequent is not None and len(s) and np.isin(first, frequent).any():
-                    late = np.isin(s, frequent)
+                if frequent is not None and len(s) and among(first, frequent).any():
+                    late = among(s, frequent)
                     first = np.concatenate([s[~late], s[late]])[: len(first)]
                 n.append(len(s))
                 sets.append(s)
@@ -211,7 +218,9 @@ def _described(docs: DataFrame, words: int, percent: int, frequent: np.ndarray |
 
 
 def _frequent(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles of several documents of a sample of at most SAMPLE documents."""
+    """Shingles of several documents of a sample of at most SAMPLE documents: a
+    list of LISTED at most. What a shingle in fewer than FREQUENT / SAMPLE of all
+    documents gathers in a cell is so much of them."""
     ids = docs.select("doc").orderBy(F.xxhash64("doc"), "doc").limit(SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,11 +228,11 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
         for batch in batches:
             for text in batch.column(1).to_pylist():
                 found.update(shingles(text or "", words).tolist())
-        top = found.most_common(100_000)
+        top = found.most_common(LISTED)
         yield pa.RecordBatch.from_arrays([pa.array(np.array([x for x, _ in top], "u8").astype("i8")), pa.array([n for _, n in top], pa.int64())], ["key", "n"])
 
     found = docs.join(F.broadcast(ids.distinct()), "doc", "left_semi").mapInArrow(run, "key long, n long")
-    top = found.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "key").limit(100_000)
+    top = found.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "key").limit(LISTED)
     return np.sort(np.array([r.key for r in top.collect()], "i8").astype("u8"))
 
 
