@@ -165,6 +165,25 @@ def set_version(encoded: Column, version_: Column) -> Column:
     return with_version(user_key(encoded), version_)
 
 
+def checksum(data: Column, kind: str) -> Column:
+    """CRC-32, or XXH64 (with the seed 42, as Spark's), as a long. seahash is not there."""
+    if kind not in ("crc32", "xxhash64"):
+        raise ValueError(f"no checksum {kind}")
+    return F.crc32(data) if kind == "crc32" else F.xxhash64(data)
+
+
+def encrypt_record(key: Column, value: Column, secret: Column, iv: Column) -> Column:
+    """Key and value as one hidden text, as a log file holds them."""
+    return aes_ctr(F.concat(key.cast("binary"), value.cast("binary")), secret, iv)
+
+
+def decrypt_record(hidden: Column, key_len: Column, secret: Column, iv: Column) -> Column:
+    """user_key and value of a hidden record."""
+    shown = aes_ctr(hidden, secret, iv)
+    rest = F.octet_length(shown) - key_len
+    return F.struct(F.substring(shown, F.lit(1), key_len).cast("string").alias("user_key"), F.substring(shown, key_len + 1, rest).cast("string").alias("value"))
+
+
 def valid_key_length(key: Column) -> Column:
     return F.length(key).isin(16, 24, 32)
 

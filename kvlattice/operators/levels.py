@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.codecs import probe_filters
 from ..sources.tables import read_tables
 from .manifest import pick_tables
-from .ordering import bounds
+from .ordering import bounds, reached
 from .reads import prefix_scan
 
 
@@ -29,9 +29,8 @@ def candidates(keys: DataFrame, manifest: DataFrame) -> DataFrame:
     all of these, below at most one of a level. Keys are cut into ranges; a table
     is in each that it touches, so keys meet the tables near them only."""
     at = bounds(manifest, "smallest")
-    reached = lambda c: F.size(F.filter(F.array(*[F.lit(x) for x in at]), lambda b: b <= F.col(c))) if at else F.lit(0)
-    tables = manifest.select("level", "table_id", "smallest", "biggest", F.explode(F.sequence(reached("smallest"), reached("biggest"))).alias("_range"))
-    both = keys.withColumn("_range", reached("user_key")).join(tables, "_range")
+    tables = manifest.select("level", "table_id", "smallest", "biggest", F.explode(F.sequence(reached(at, "smallest"), reached(at, "biggest"))).alias("_range"))
+    both = keys.withColumn("_range", reached(at, "user_key")).join(tables, "_range")
     return both.filter((F.col("user_key") >= F.col("smallest")) & (F.col("user_key") <= F.col("biggest"))).drop("_range", "smallest", "biggest")
 
 

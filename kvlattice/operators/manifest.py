@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.codecs_sql import CHECKSUM, COMPRESSION
 from ..model import DELETE, has
 from ..sources.tables import file_name
-from .ordering import bounds, row_number
+from .ordering import bounds, reached, row_number
 
 
 def table_stats(log: DataFrame) -> DataFrame:
@@ -93,8 +93,7 @@ def overlapping_pairs(manifest: DataFrame) -> DataFrame:
     in each range that it touches, and tables meet within one range, so this is
     an equi-join and no pair of far tables is formed."""
     at = bounds(manifest, "smallest")
-    reached = lambda c: F.size(F.filter(F.array(*[F.lit(x) for x in at]), lambda b: b <= F.col(c))) if at else F.lit(0)
-    each = manifest.withColumn("_first", reached("smallest")).withColumn("_range", F.explode(F.sequence(F.col("_first"), reached("biggest"))))
+    each = manifest.withColumn("_first", reached(at, "smallest")).withColumn("_range", F.explode(F.sequence(F.col("_first"), reached(at, "biggest"))))
     a = each.select("_range", F.col("_first").alias("fa"), F.col("table_id").alias("a"), F.col("smallest").alias("sa"), F.col("biggest").alias("ba"))
     b = each.select("_range", F.col("_first").alias("fb"), F.col("table_id").alias("b"), F.col("smallest").alias("sb"), F.col("biggest").alias("bb"))
     pairs = a.join(b, "_range").filter((F.col("a") < F.col("b")) & (F.col("sa") <= F.col("bb")) & (F.col("ba") >= F.col("sb")))
@@ -119,6 +118,14 @@ def stalled(manifest: DataFrame, limit: int) -> DataFrame:
     return zero.agg((F.count("*") >= limit).alias("stalled"), F.count("*").alias("tables"))
 
 
+def add_level_zero(manifest: DataFrame, new: DataFrame, limit: int) -> DataFrame:
+    """The manifest with ``new`` tables on level 0, each unless there are ``limit``
+    already; they come in the order of their ids."""
+    held = manifest.filter(F.col("level") == 0).agg(F.count("*").alias("_held"))
+    placed = row_number(new, [F.col("table_id")], "_n").join(F.broadcast(held)).filter(F.col("_held") + F.col("_n") <= limit)  # one row
+    return manifest.unionByName(placed.drop("_n", "_held"))
+
+
 def table_for_key(manifest: DataFrame, key: str) -> DataFrame:
     """On levels below 0, the first table whose biggest key is >= key; on level
     0 all tables, newest first."""

@@ -139,12 +139,19 @@ def ordered_fold(df: DataFrame, by: str, order: list[Column], reads: list[str],
     return df.repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, schema)
 
 
-#: Key ranges that intervals are dealt into, and rows their bounds are taken from.
-RANGES, SAMPLE = 64, 4096
+#: Key ranges that intervals are dealt into: one for PER_RANGE rows, but no fewer
+#: than RANGES and no more than the SAMPLE of keys that their bounds come from.
+RANGES, PER_RANGE, SAMPLE = 64, 512, 4096
 
 
-def bounds(df: DataFrame, key: str, ranges: int = RANGES) -> list:
+def bounds(df: DataFrame, key: str) -> list:
     """Keys that cut a bounded sample of the distinct ones into even ranges."""
+    ranges = min(SAMPLE, max(RANGES, df.count() // PER_RANGE))
     rows = df.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(SAMPLE).collect()
     values = sorted(r[0] for r in rows)
     return values[:: max(1, len(values) // ranges)][1 : ranges + 1]
+
+
+def reached(at: list, column: str) -> Column:
+    """How many bounds a key has reached: the number of its range."""
+    return F.size(F.filter(F.array(*[F.lit(x) for x in at]), lambda b: b <= F.col(column))) if at else F.lit(0)

@@ -381,9 +381,65 @@ def _(spark, d):
     return spark.createDataFrame([(seen.get["reads"], seen.get["bytes"], seen.get["deleted"])], "reads long, bytes long, deleted long")
 
 
+@query("manifest_add_level_zero", f"""WITH {LOG}, {STATS}, z AS (SELECT count(*) AS held FROM manifest WHERE level = 0), new AS (SELECT table_id + 1000 AS table_id, row_number() OVER (ORDER BY table_id) AS n FROM manifest)
+SELECT table_id, level FROM manifest UNION ALL SELECT table_id, 0 FROM new, z WHERE held + n <= 6""")
+def _(spark, d):
+    tables = manifest.table_stats(events_log(spark, d))
+    new = tables.withColumns({"table_id": F.col("table_id") + 1000, "level": F.lit(0)})
+    return manifest.add_level_zero(tables, new, 6).select("table_id", "level")
+
+
+@query("data_key_lengths", "SELECT c_custkey, CAST(length(repeat('k', CAST(c_custkey % 40 AS INTEGER))) AS INTEGER) AS n, c_custkey % 40 IN (16, 24, 32) AS valid FROM customer")
+def _(spark, d):
+    keys = read(spark, d, "customer").select("c_custkey", F.repeat(F.lit("k"), (F.col("c_custkey") % 40).cast("int")).alias("k"))
+    return keys.select("c_custkey", F.length("k").alias("n"), codecs_sql.valid_key_length(F.col("k")).alias("valid"))
+
+
+@query("table_compressions", f"WITH {LOG} SELECT c AS compression, count(*) AS n, max(version) AS max_version FROM log, (VALUES ('none'), ('snappy'), ('zstd'), ('lz4')) AS t(c) GROUP BY c")
+def _(spark, d):
+    """The same table by each codec."""
+    log, out = events_log(spark, d), None
+    for codec in codecs_sql.COMPRESSION.values():
+        path = scratch.fresh(spark, "table")
+        found = create_table(log, path, compression="lz4_raw" if codec == "lz4" else codec).agg(F.lit(codec).alias("compression"), F.count("*").alias("n"), F.max("version").alias("max_version"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 # ---- codecs
 
 
+@query("checksum_kinds", f"WITH {LOG} SELECT kind, count(*) AS n, count(*) FILTER (seq % 10 = 3) AS broken FROM log, (VALUES ('crc32'), ('xxhash64')) AS t(kind) GROUP BY kind")
+def _(spark, d):
+    log, out = events_log(spark, d), None
+    for kind in ("crc32", "xxhash64"):
+        stored = log.withColumn("sum", codecs_sql.checksum(F.col("value"), kind)).withColumn("value", F.when(F.col("seq") % 10 == 3, F.concat("value", F.lit("!"))).otherwise(F.col("value")))
+        bad = F.count(F.when(F.col("sum") != codecs_sql.checksum(F.col("value"), kind), 1))
+        found = stored.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), bad.alias("broken"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("record_encryption", f"WITH {LOG}, {SPLIT} SELECT fid, seq, user_key, value, strlen(user_key) + strlen(value) AS hidden_bytes FROM split WHERE in_log")
+def _(spark, d):
+    """Records of a log file hidden by its key, with vectors of their offsets."""
+    c, secret = F.col, F.lit(b"0123456789abcdef")
+    iv = codecs_sql.file_iv(F.lit(bytes(range(12))), c("offset"))
+    rows = _split(spark, d).filter("in_log").select("fid", "seq", iv.alias("iv"), F.octet_length("user_key").alias("n"), codecs_sql.encrypt_record(c("user_key"), c("value"), secret, iv).alias("hidden"))
+    shown = codecs_sql.decrypt_record(c("hidden"), c("n"), secret, c("iv"))
+    return rows.withColumn("r", shown).select("fid", "seq", "r.user_key", "r.value", F.octet_length("hidden").cast("long").alias("hidden_bytes"))
+
+
+@query("change_marshal", "SELECT event_id AS seq, user_id AS table_id, CASE WHEN event_type IN ('error', 'signup') THEN 'DELETE' ELSE 'CREATE' END AS op, CAST(event_id % 4 AS INTEGER) AS level FROM events")
+def _(spark, d):
+    """Manifest changes as bytes (of JSON) and back."""
+    e = F.col("event_id")
+    op = F.when(F.col("event_type").isin("error", "signup"), "DELETE").otherwise("CREATE")
+    change = F.struct(e.alias("seq"), F.col("user_id").alias("table_id"), op.alias("op"), (e % 4).cast("int").alias("level"))
+    stored = read(spark, d, "events").select(F.to_json(change).cast("binary").alias("bytes"))
+    return stored.select(F.from_json(F.col("bytes").cast("string"), "seq long, table_id long, op string, level int").alias("c")).select("c.*")
+
+
 def _bytes_sql(x: str, n: str) -> str:
     return f"array_to_string(list_transform(range({n}), lambda i: printf('%02x', (({x}) >> CAST(7 * i AS INTEGER)) & 127 | CASE WHEN i < {n} - 1 THEN 128 ELSE 0 END)), '')"
 

@@ -1,6 +1,7 @@
 """The engine's operators on the fixtures of FIXTURES.md."""
 
 import random
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -422,6 +423,23 @@ def test_counter_mode(spark):
             assert bytes(part).hex() == want[: 2 * n]
 
 
+def test_checksums(spark):
+    xxhash = pytest.importorskip("xxhash")
+    words = ["", "a", "hash me", "漢字" * 50]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", *[codecs_sql.checksum(F.col("w"), k).alias(k) for k in ("crc32", "xxhash64")]).collect()
+    for r in got:
+        assert r.crc32 == zlib.crc32(r.w.encode()) and r.xxhash64 % (1 << 64) == xxhash.xxh64(r.w.encode(), seed=42).intdigest()
+    with pytest.raises(ValueError, match="seahash"):
+        codecs_sql.checksum(F.col("w"), "seahash")
+
+
+def test_level_zero_is_full(spark):
+    made = lambda *ids: spark.createDataFrame([(i, 0) for i in ids], "table_id long, level int")
+    ids = lambda df: sorted(r.table_id for r in df.collect())
+    assert ids(manifest.add_level_zero(made(1, 2), made(9, 7, 8), 4)) == [1, 2, 7, 8]
+    assert ids(manifest.add_level_zero(made(1, 2), made(9), 2)) == [1, 2]
+
+
 def test_registry_file_needs_its_secret(spark, tmp_path):
     keys = spark.createDataFrame([(1, "one", 10), (2, "two", 20)], "key_id long, data string, created_at long")
     registry.write(keys, str(tmp_path / "r"), "0123456789abcdef")
