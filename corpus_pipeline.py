@@ -7,6 +7,13 @@ documents.
 
 Near-duplicate settings are those of language-model corpora: shingles of five
 words and a similarity of 0.8 or more.
+
+Defined cases, beside those of the operators: null texts and texts without a
+letter go in the first stage; repeated rows are one after the second; rows
+without doc_id, or with one that others have, are told apart by their texts;
+texts that a removed passage leaves empty stay, with their end id; further
+columns, whatever their names, are passed on up to the last stage; an empty
+table stays empty.
 """
 
 from __future__ import annotations
