@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,8 +23,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/kvlattice/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has used yet, deleted when the
+    driver ends."""
+    path = f"{shared_dir(spark)}/kvlattice/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove_at_exit, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    try:
+        remove(spark, path)
+    except (Py4JError, OSError, AttributeError):  # the JVM has ended before; the folder's owner cleans up
+        return
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -30,4 +47,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     executor costs a task, not the steps before."""
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table._scratch)
