@@ -38,6 +38,12 @@ def sort_between(records: DataFrame, start: int, end: int) -> DataFrame:
     return fixed.unionByName(slots.join(moved, "slot").select("at", "rec"))
 
 
+def fitting(records: DataFrame, max_size: int) -> DataFrame:
+    """The records that a buffer of max_size bytes takes, up to the first that it
+    has no room for."""
+    return offsets(records).filter(F.col("offset") + FRAME + F.octet_length("rec") <= max_size)
+
+
 def for_each(records: DataFrame, f, name: str) -> DataFrame:
     """Adds what ``f`` (of a column) gives for every record that is not empty."""
     return records.filter(F.octet_length("rec") > 0).withColumn(name, f(F.col("rec")))

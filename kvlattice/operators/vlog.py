@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,6 +184,53 @@ def batches(log: DataFrame, max_bytes: int, max_count: int, threshold: int) -> D
     return ordered_fold(rows, "fid", [F.col("seq")], ["_size"], make, {"batch": "long"}).drop("_size")
 
 
+#: Entries of a batch to begin with, as a rewrite puts them back.
+FIRST_BATCH = 1024
+
+
+def halved_batches(log: DataFrame, max_bytes: int, max_count: int, threshold: int) -> DataFrame:
+    """fid, seq and batch: each file's entries in order, FIRST_BATCH to a batch. A
+    batch of max_bytes or max_count or more is halved, as are all behind it; one
+    entry that is too large fails the run. A task holds a batch at a time."""
+    rows = log.select("fid", "seq", estimated_size(threshold).cast("long").alias("size"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, size, number, held = None, FIRST_BATCH, 0, []
+        out: list[tuple] = []
+
+        def take(last: bool) -> None:
+            nonlocal size, number, held
+            while held and (last or len(held) >= size):
+                part = held[:size]
+                if sum(x[1] for x in part) >= max_bytes or len(part) >= max_count:
+                    size //= 2
+                    if not size:
+                        raise ValueError(f"an entry of file {now} is too large for a batch")
+                    continue
+                out.extend((now, seq, number) for seq, _ in part)
+                held, number = held[size:], number + 1
+
+        for batch in batches:
+            for fid, seq, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if fid != now:
+                    take(True)
+                    now, size, number = fid, FIRST_BATCH, 0
+                held.append((seq, n))
+                take(False)
+            if out:
+                yield _longs(out, ["fid", "seq", "batch"])
+                out.clear()
+        take(True)
+        if out:
+            yield _longs(out, ["fid", "seq", "batch"])
+
+    return rows.repartition("fid").sortWithinPartitions("fid", "seq").mapInArrow(run, "fid long, seq long, batch long")
+
+
+def _longs(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+
+
 def open_files(files: DataFrame) -> DataFrame:
     """files (fid, size): those that stay when a value log is opened. An empty one
     (its header only) goes, but for the newest, which is written next."""

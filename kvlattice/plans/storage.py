@@ -12,8 +12,9 @@ from ..operators import buffers, gc, levels, manifest, merge, reads, vlog
 from ..sources import scratch
 from ..sources.tables import create_table, events_log, open_in_memory, read, read_tables, write_tables
 from ..sources.wal import WalSource, log_files, read_raw, read_wal, write_wal
+from ..store import Store
 from ..streaming import marks
-from .catalogue import AT, COLUMNS, ENTRIES, LOG, NOW, PREFIX, SPLIT, STATS, VARINT, _entries, _records, _split, query
+from .catalogue import AT, COLUMNS, ENTRIES, LOG, NOW, PREFIX, RECORDS, SPLIT, STATS, VARINT, _entries, _records, _split, query
 
 # ---- whole order
 
@@ -131,6 +132,19 @@ def _(spark, d):
     return vlog.verify(stored).groupBy("table_id").agg(F.count("*").alias("entries"), F.count(F.when(~F.col("intact"), 1)).alias("broken"))
 
 
+@query("store_round_trip", f"""WITH {LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY version DESC) AS n, coalesce(max(CASE WHEN meta & 4 <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_key ORDER BY version DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cut,
+  first_value(meta & 1 <> 0 OR (expires_at <> 0 AND expires_at <= 5000)) OVER (PARTITION BY user_key ORDER BY version DESC) AS gone FROM log)
+SELECT user_key, version, value, CAST(1 AS INTEGER) AS level FROM r WHERE n <= 2 AND cut = 0 AND NOT gone""")
+def _(spark, d):
+    """Three writes, a compaction, and a scan of the store as a reader opens it."""
+    log, path = events_log(spark, d), scratch.fresh(spark, "store")
+    store = Store(spark, path)
+    for k in range(3):
+        store.write(log.filter(F.col("seq") % 3 == k))
+    store.compact(2, NOW)
+    return Store.open(spark, path, store.change).scan().select(*COLUMNS, "level")
+
+
 # ---- memtables
 
 
@@ -149,6 +163,11 @@ def _(spark, d):
     return merge.insert(_writes(spark, d)).select(*COLUMNS, "meta", "seq")
 
 
+@query("memtable_scan", f"WITH {LOG}, {WRITES} SELECT user_key, version, row_number() OVER (ORDER BY user_key, version DESC) AS position FROM mem")
+def _(spark, d):
+    return reads.number(merge.insert(_writes(spark, d))).select("user_key", "version", "position")
+
+
 @query("memtable_stats", f"WITH {LOG}, {WRITES} SELECT count(*) AS entries, CAST(sum(strlen(user_key) + 8 + strlen(value)) AS BIGINT) AS mem_size, max(version) AS max_version FROM mem")
 def _(spark, d):
     return merge.memtable_stats(merge.insert(_writes(spark, d)))
@@ -179,6 +198,17 @@ def _(spark, d):
     return vlog.validate_writes(log, 4096).select("fid", "request", "end", "valid")
 
 
+@query("vlog_rewrite_batches", f"""WITH RECURSIVE {LOG}, e AS (SELECT fid, row_number() OVER (PARTITION BY fid ORDER BY seq) AS n, strlen(user_key) + CASE WHEN strlen(value) < 9 THEN strlen(value) + 2 ELSE 14 END AS sz FROM log),
+p AS (SELECT fid, n, CAST(sum(sz) OVER (PARTITION BY fid ORDER BY n) AS BIGINT) AS upto, count(*) OVER (PARTITION BY fid) AS all_n FROM e UNION ALL SELECT fid, 0, 0, count(*) FROM e GROUP BY fid),
+b AS (SELECT DISTINCT fid, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS j, CAST(1024 AS BIGINT) AS size, CAST(-1 AS BIGINT) AS batch, all_n FROM p UNION ALL
+  SELECT b.fid, CASE WHEN ok THEN b.j ELSE b.i END, CASE WHEN ok THEN to_ ELSE b.j END, CASE WHEN ok THEN size ELSE size // 2 END, CASE WHEN ok THEN batch + 1 ELSE batch END, b.all_n
+  FROM (SELECT b.*, least(b.j + b.size, b.all_n) AS to_, q.upto - f.upto < 3000 AND least(b.j + b.size, b.all_n) - b.j < 200 AS ok
+    FROM b JOIN p AS f ON f.fid = b.fid AND f.n = b.j JOIN p AS q ON q.fid = b.fid AND q.n = least(b.j + b.size, b.all_n) WHERE b.j < b.all_n) AS b)
+SELECT fid, batch, max(j - i) AS entries FROM b WHERE batch >= 0 AND i < j GROUP BY fid, batch""")
+def _(spark, d):
+    return vlog.halved_batches(events_log(spark, d), 3000, 200, 9).groupBy("fid", "batch").agg(F.count("*").alias("entries"))
+
+
 @query("vlog_open", f"WITH {LOG}, f AS (SELECT fid, 20 + CASE WHEN fid % 3 = 1 THEN 0 ELSE count(*) END AS size FROM log GROUP BY fid) SELECT fid, size, fid = (SELECT max(fid) FROM f) AS writable FROM f WHERE size > 20 OR fid = (SELECT max(fid) FROM f)")
 def _(spark, d):
     files = events_log(spark, d).groupBy("fid").agg(F.count("*").alias("n")).select("fid", (F.when(F.col("fid") % 3 == 1, 0).otherwise(F.col("n")) + 20).alias("size"))
@@ -349,6 +379,24 @@ def _(spark, d):
     return buffers.sizes(_records(spark, d).limit(0))
 
 
+@query("buffer_capped", f"WITH {RECORDS} SELECT seq, o AS \"offset\" FROM p WHERE o + 4 + strlen(rec) <= 200000")
+def _(spark, d):
+    return buffers.fitting(_records(spark, d), 200_000).select("seq", "offset")
+
+
+@query("buffer_backings", "SELECT b AS backing, count(*) AS records, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS bytes FROM documents, (VALUES ('memory'), ('named'), ('temporary')) AS t(b) GROUP BY b")
+def _(spark, d):
+    """The same buffer under a name of the session, in a named folder, in a scratch table."""
+    records, out = _records(spark, d), None
+    records.createOrReplaceTempView("kv_buffer")
+    named = scratch.fresh(spark, "buffer")
+    records.write.parquet(named)
+    for name, df in (("memory", spark.table("kv_buffer")), ("named", spark.read.schema(records.schema).parquet(named)), ("temporary", scratch.materialize(records, "buffer"))):
+        found = df.agg(F.lit(name).alias("backing"), F.count("*").alias("records"), F.sum(F.octet_length("rec")).cast("long").alias("bytes"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("buffer_iterate", "SELECT doc_id AS seq, md5(text) AS digest FROM documents WHERE text <> ''")
 def _(spark, d):
     """A function over every record that is not empty."""

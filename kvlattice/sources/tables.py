@@ -64,7 +64,7 @@ def write_tables(log: DataFrame, path: str) -> None:
     """A folder for each table, so that a scan of some opens these only. A table
     is bounded in size, so a task may write it."""
     placed = log.repartition("level", "table_id").sortWithinPartitions("level", "table_id", *canonical())
-    placed.write.partitionBy("level", "table_id").parquet(path)
+    placed.write.mode("append").partitionBy("level", "table_id").parquet(path)  # other tables stay
 
 
 def read_tables(spark: SparkSession, path: str, schema, picked: DataFrame) -> DataFrame:

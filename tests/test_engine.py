@@ -234,6 +234,44 @@ def test_read_of_many_picked_tables(spark, tmp_path, monkeypatch):
     assert tables.read_tables(spark, str(tmp_path / "t"), log.schema, picked).count() == 40
 
 
+def test_store(spark, tmp_path, monkeypatch):
+    """Writes, reads at versions, compaction, older readers, checksums, a full level 0."""
+    from kvlattice import store
+
+    s = store.Store(spark, str(tmp_path))
+    s.write(rows(spark, [("a", 1, "a1"), ("b", 1, "b1"), ("b", 1, "b1 again")]))
+    s.write(rows(spark, [("a", 2, "a2"), ("c", 2, "c2", 1), ("ab", 2, "x")]))
+    asked = spark.createDataFrame([("a", 1), ("a", 9), ("b", 9), ("d", 9)], "user_key string, at long")
+    assert {(r.user_key, r.at): r.value for r in s.get(asked).collect()} == {("a", 1): "a1", ("a", 9): "a2", ("b", 9): "b1 again"}
+    assert kv(s.scan("a")) == [("a", "a2"), ("a", "a1"), ("ab", "x")]
+    assert kv(s.scan("a", since=1, reverse=True)) == [("ab", "x"), ("a", "a2")]
+    sums, before = s.checksums().collect(), s.change
+    s.compact(keep=1, now=0)
+    assert [(r.user_key, r.value, r.level) for r in s.rows().orderBy("user_key").collect()] == [("a", "a2", 1), ("ab", "x", 1), ("b", "b1 again", 1)]
+    assert s.live.count() == 1 and store.Store.open(spark, str(tmp_path), before).rows().count() == len(sums) == 5
+    s.write(rows(spark, [("a", 2, "a2 new")]))
+    assert dict(kv(s.latest(0))) == {"a": "a2 new", "ab": "x", "b": "b1 again"}
+    broken = s.verify(spark.createDataFrame(sums))
+    assert kv(broken) == [("a", "a2 new")]
+    monkeypatch.setattr(store, "STALL", 1)
+    with pytest.raises(RuntimeError, match="full"):
+        s.write(rows(spark, [("z", 1, "z")]))
+
+
+def test_batches_are_halved(spark):
+    sizes = [10] * 20 + [400] * 3 + [10] * 5
+    log = rows(spark, [(f"k{i:02d}", i, "v" * n) for i, n in enumerate(sizes)])
+    got = vlog.halved_batches(log, 600, 100, 1 << 20).collect()
+    totals, last = {}, -1
+    for r in sorted(got, key=lambda r: r.seq):
+        assert r.batch in (last, last + 1)
+        last = r.batch
+        totals[r.batch] = totals.get(r.batch, 0) + 3 + sizes[r.seq] + 2
+    assert len(got) == len(sizes) and max(totals.values()) < 600
+    with pytest.raises(Exception, match="too large"):
+        vlog.halved_batches(log, 300, 100, 1 << 20).collect()
+
+
 def test_pick_tables(spark):
     m = spark.createDataFrame([(1, 0, "a", "c", 5, 1, 1, 0), (2, 0, "b", "bz", 9, 1, 1, 0), (3, 1, "ca", "d", 9, 1, 1, 0)], "table_id long, level int, smallest string, biggest string, max_version long, key_count long, size long, stale_size long")
     ids = lambda df: sorted(r.table_id for r in df.collect())
