@@ -23,9 +23,13 @@ def slices(records: DataFrame) -> DataFrame:
     return out.filter(F.octet_length("rec") > 0)
 
 
+#: Characters of a record that bounds between ranges are made of.
+BOUND = 256
+
+
 def sort(records: DataFrame) -> DataFrame:
     """Adds the place of each record in sorted order; ties by seq."""
-    return row_number(records, [F.col("rec"), F.col("seq")], "place")
+    return row_number(records, [F.col("rec"), F.col("seq")], "place", [F.substring("rec", 1, BOUND)])
 
 
 def sort_between(records: DataFrame, start: int, end: int) -> DataFrame:
@@ -33,7 +37,7 @@ def sort_between(records: DataFrame, start: int, end: int) -> DataFrame:
     placed = offsets(records)
     inside = (F.col("offset") >= start) & (F.col("offset") < end)
     slots = row_number(placed.filter(inside), [F.col("seq")], "slot").select("slot", F.col("seq").alias("at"))
-    moved = row_number(placed.filter(inside), [F.col("rec"), F.col("seq")], "slot").select("slot", "rec")
+    moved = row_number(placed.filter(inside), [F.col("rec"), F.col("seq")], "slot", [F.substring("rec", 1, BOUND)]).select("slot", "rec")
     fixed = placed.filter(~inside).select(F.col("seq").alias("at"), "rec")
     return fixed.unionByName(slots.join(moved, "slot").select("at", "rec"))
 

@@ -22,9 +22,11 @@ from ..sources.scratch import materialize
 Batches = Iterator[pa.RecordBatch]
 
 
-def _sorted(df: DataFrame, order: list[Column], read: Callable[[Batches], Batches], adds: list[T.StructField]) -> DataFrame:
-    """Rows with _part (their range) and what ``read`` adds to a range in order."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+def _sorted(df: DataFrame, order: list[Column], read: Callable[[Batches], Batches], adds: list[T.StructField], ranges: list[Column] | None = None) -> DataFrame:
+    """Rows with _part (their range) and what ``read`` adds to a range in order.
+    ``ranges``: what bounds are made of, if it is less than the order, for the
+    driver gets a sample of it. It must not contradict the order."""
+    ranged = df.repartitionByRange(*(ranges or order)).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     return materialize(ranged.mapInArrow(read, T.StructType([*ranged.schema.fields, *adds])), "ordered")
 
 
@@ -34,7 +36,7 @@ def _parts_before(ends: DataFrame, value: Column, name: str, backwards: bool = F
     return ends.select("_part", value.over(order).alias(name))
 
 
-def running_sum(df: DataFrame, order: list[Column], value: Column, name: str, inclusive: bool = False) -> DataFrame:
+def running_sum(df: DataFrame, order: list[Column], value: Column, name: str, inclusive: bool = False, ranges: list[Column] | None = None) -> DataFrame:
     """Sum of ``value`` (whole numbers) over the rows before (and with) each one."""
 
     def read(batches: Batches) -> Batches:
@@ -45,7 +47,7 @@ def running_sum(df: DataFrame, order: list[Column], value: Column, name: str, in
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], [*batch.schema.names, "_own"])
 
     rows = df.withColumn("_value", F.coalesce(value.cast("long"), F.lit(0).cast("long")))
-    placed = _sorted(rows, order, read, [T.StructField("_own", T.LongType())])
+    placed = _sorted(rows, order, read, [T.StructField("_own", T.LongType())], ranges)
     totals = placed.groupBy("_part").agg(F.sum("_value").alias("_total"))
     before = _parts_before(totals, F.sum("_total"), "_before")
     out = placed.join(F.broadcast(before), "_part")  # a row for each range
@@ -53,9 +55,9 @@ def running_sum(df: DataFrame, order: list[Column], value: Column, name: str, in
     return out.withColumn(name, total if inclusive else total - F.col("_value")).drop("_part", "_value", "_own", "_before")
 
 
-def row_number(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+def row_number(df: DataFrame, order: list[Column], name: str, ranges: list[Column] | None = None) -> DataFrame:
     """Number from 1 in the order."""
-    return running_sum(df, order, F.lit(1), name, inclusive=True)
+    return running_sum(df, order, F.lit(1), name, inclusive=True, ranges=ranges)
 
 
 def neighbours(df: DataFrame, order: list[Column], columns: list[str]) -> DataFrame:
