@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .codecs_sql import FACTOR, SEED
-from .codecs_sql import bloom_hash as hash_column
 
 
 def put_uvarint(x: int) -> bytes:
@@ -123,6 +122,21 @@ def bloom_hash(key: bytes) -> int:
     return h
 
 
+def bloom_hashes(keys: list[bytes]) -> np.ndarray:
+    """The same of many keys, those of one length at a time."""
+    out, lengths = np.zeros(len(keys), np.uint64), np.fromiter(map(len, keys), np.int64, len(keys))
+    for n in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == n)
+        octets = np.frombuffer(b"".join([keys[i] for i in at]), np.uint8).reshape(len(at), n) if n else np.zeros((len(at), 0), np.uint8)
+        h = np.full(len(at), SEED ^ (FACTOR * n) & 0xFFFFFFFF, np.uint32)
+        for j in range(0, n, 4):
+            word = sum(octets[:, j + k].astype(np.uint32) << np.uint32(8 * k) for k in range(min(4, n - j)))
+            h = (h + word) * np.uint32(FACTOR)
+            h ^= h >> np.uint32(16 if n - j >= 4 else 24)
+        out[at] = h
+    return out
+
+
 def _probes(hashes: np.ndarray, k: int, bits: int) -> np.ndarray:
     h = hashes.astype(np.uint32)[:, None]
     step = (h >> np.uint32(17)) | (h << np.uint32(15))
@@ -147,13 +161,12 @@ def may_contain(bloom: bytes, hashes: np.ndarray) -> np.ndarray:
 
 
 def table_filters(log, bits_per_key: int = 10):
-    """table_id, bloom: a filter over each table's distinct keys. Keys are hashed
-    by Spark's functions; a table, which is bounded in size, sends its hashes to
-    one task."""
-    keys = log.select("table_id", hash_column(F.col("user_key")).alias("h")).distinct()
+    """table_id, bloom: a filter over each table's distinct keys. A table, which is
+    bounded in size, sends its keys to one task."""
+    keys = log.select("table_id", F.col("user_key").cast("binary").alias("k")).distinct()
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"table_id": rows["table_id"].iloc[:1], "bloom": [bloom_filter(rows["h"].to_numpy(), bits_per_key)]})
+        return pd.DataFrame({"table_id": rows["table_id"].iloc[:1], "bloom": [bloom_filter(bloom_hashes(rows["k"].tolist()), bits_per_key)]})
 
     return keys.groupBy("table_id").applyInPandas(build, "table_id long, bloom binary")
 
@@ -163,8 +176,8 @@ def probe_filters(filters, pairs):
     key; without a filter it may. Sorted by table, the filter first, so a task
     holds one filter at a time, whatever the number of probes."""
     rest = [c for c in pairs.columns if c != "table_id"]
-    asked = pairs.select("table_id", F.lit(1).alias("_kind"), F.lit(None).cast("binary").alias("_bloom"), hash_column(F.col("user_key")).alias("_h"), F.struct(*rest).alias("_row"))
-    held = filters.select("table_id", F.lit(0).alias("_kind"), F.col("bloom").alias("_bloom"), F.lit(None).cast("long").alias("_h"), F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"))
+    asked = pairs.select("table_id", F.lit(1).alias("_kind"), F.col("user_key").cast("binary").alias("_data"), F.struct(*rest).alias("_row"))
+    held = filters.select("table_id", F.lit(0).alias("_kind"), F.col("bloom").alias("_data"), F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in asked.schema.fields] + [T.StructField("may", T.BooleanType())])
 
     def run(batches):
@@ -173,7 +186,7 @@ def probe_filters(filters, pairs):
             if not batch.num_rows:
                 continue
             tables, kinds = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            hashes, may = batch.column(3).fill_null(0).to_numpy(zero_copy_only=False), np.ones(batch.num_rows, bool)
+            may = np.ones(batch.num_rows, bool)
             edges = np.flatnonzero(np.concatenate(([True], (tables[1:] != tables[:-1]) | (kinds[1:] != kinds[:-1]), [True])))
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if tables[a] != now:
@@ -181,7 +194,7 @@ def probe_filters(filters, pairs):
                 if kinds[a] == 0:
                     bloom = batch.column(2)[int(a)].as_py()
                 elif bloom is not None:
-                    may[a:b] = may_contain(bloom, hashes[a:b])
+                    may[a:b] = may_contain(bloom, bloom_hashes(batch.column(2).slice(a, b - a).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(may)], [*batch.schema.names, "may"])
 
     both = held.unionByName(asked).repartition("table_id").sortWithinPartitions("table_id", "_kind")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codecs import probe_filters
+from ..sources.scratch import materialize
 from ..sources.tables import read_tables
 from .manifest import pick_tables
 from .ordering import bounds, reached
@@ -38,7 +39,7 @@ def get(spark: SparkSession, path: str, schema, manifest: DataFrame, filters: Da
     """asked (user_key, at): of each the newest version <= at over all levels.
     Tables come from the manifest and lose those whose filter rules the key out;
     what is left is read, and each key's newest version stays."""
-    may = probe_filters(filters, candidates(asked, manifest)).filter("may").drop("may")
+    may = materialize(probe_filters(filters, candidates(asked, manifest)).filter("may").drop("may"), "candidates")
     rows = read_tables(spark, path, schema, may.select("level", "table_id"))
     rest = [c for c in rows.columns if c not in ("user_key", "level", "table_id")]
     found = rows.join(may, ["level", "table_id", "user_key"]).filter(F.col("version") <= F.col("at"))

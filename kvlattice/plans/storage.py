@@ -66,7 +66,7 @@ PICKED = f"picked AS (SELECT table_id FROM manifest WHERE max_version >= 400 AND
 def _written(spark, d):
     log, path = _tables(spark, d), scratch.fresh(spark, "tables")
     write_tables(log, path)
-    return log, path, manifest.table_stats(log)
+    return log, path, scratch.materialize(manifest.table_stats(log), "manifest")
 
 
 @query("table_write_read", f"WITH {LOG} SELECT user_key, version, value, meta, expires_at, seq FROM log")

@@ -410,6 +410,8 @@ HASHES = {"": 3164544308, "r": 1499315714, "ru": 2735451247, "rus": 1743522570,
 
 def test_bloom(spark):
     assert {k: codecs.bloom_hash(k.encode()) for k in HASHES} == HASHES
+    keys = [random.Random(i).randbytes(i % 23) for i in range(200)]
+    assert codecs.bloom_hashes(keys).tolist() == [codecs.bloom_hash(k) for k in keys]
     h = lambda *x: np.array([codecs.bloom_hash(k.encode()) for k in x], np.uint64)
     small = codecs.bloom_filter(h("hello", "world"), 10)
     assert codecs.may_contain(small, h("hello", "world", "x", "foo")).tolist() == [True, True, False, False]
