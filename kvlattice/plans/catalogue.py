@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import codecs, codecs_sql
 from ..model import TXN, canonical, dead, has
 from ..operators import buffers, gc, manifest, merge, reads, registry, replay, vlog
-from ..operators.ordering import neighbours
+from ..operators.ordering import neighbours, row_number
 from ..sources.tables import events_log, file_name, parse_file_id, read
 
 NOW, KEY, PREFIX, AT = 5000, "user:000042", "user:00004", 6000
@@ -165,10 +165,11 @@ def _halves(spark, d):
     return log.filter("seq % 3 <> 1"), log.filter("seq % 3 <> 2").withColumn("value", F.concat(F.lit("b"), F.col("value")))
 
 
-@query("kv_concat", f"WITH {LOG} SELECT user_key, version, value FROM log WHERE user_key < 'user:00005' OR user_key >= 'user:00007'")
+@query("kv_concat", f"WITH {LOG} SELECT user_key, version, value FROM log")
 def _(spark, d):
     log = events_log(spark, d)
-    return merge.concat([log.filter("user_key < 'user:00005'"), log.filter("user_key >= 'user:00007'")]).select(*COLUMNS)
+    parts = ["user_key < 'user:00003'", "user_key >= 'user:00003' and user_key < 'user:00007'", "user_key >= 'user:00007'"]
+    return merge.concat([log.filter(p) for p in parts]).select(*COLUMNS)
 
 
 _TWO = f"""WITH {LOG}, u AS (
@@ -183,20 +184,22 @@ def _(spark, d):
     return merge.merge(list(_halves(spark, d))).select(*COLUMNS, "src")
 
 
-@query("kv_merge_reverse", _TWO + " ORDER BY user_key DESC, version LIMIT 500")
+@query("kv_merge_reverse", f"SELECT *, row_number() OVER (ORDER BY user_key DESC, version) AS position FROM ({_TWO})")
 def _(spark, d):
-    return merge.merge(list(_halves(spark, d))).select(*COLUMNS, "src").orderBy(*canonical(True)).limit(500)
+    """Backwards; the position tells the order."""
+    return row_number(merge.merge(list(_halves(spark, d))).select(*COLUMNS, "src"), canonical(True), "position")
 
 
 @query(
     "kv_merge_k",
-    f"""WITH {LOG}, u AS (SELECT user_key, version, value || '-' || i AS value, i AS src FROM log, range(5) AS t(i) WHERE seq % (i + 2) = 0),
+    f"""WITH {LOG}, u AS (SELECT user_key, version, value || '-' || i AS value, i AS src FROM log, range(5) AS t(i) WHERE i = seq % 5 OR seq % (i + 2) = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_key, version ORDER BY src) AS n FROM u)
 SELECT user_key, version, value, CAST(src AS INTEGER) AS src FROM r WHERE n = 1""",
 )
 def _(spark, d):
+    """Five tables that overlap; each row is in one of them at least."""
     log = events_log(spark, d)
-    tables = [log.filter(f"seq % {i + 2} = 0").withColumn("value", F.concat("value", F.lit(f"-{i}"))) for i in range(5)]
+    tables = [log.filter(f"seq % 5 = {i} or seq % {i + 2} = 0").withColumn("value", F.concat("value", F.lit(f"-{i}"))) for i in range(5)]
     return merge.merge(tables).select(*COLUMNS, "src")
 
 
