@@ -99,7 +99,7 @@ SELECT user_key, {AT} AS "at", version, value FROM r WHERE n = 1""",
 )
 def _(spark, d):
     log = events_log(spark, d)
-    return reads.get_at(log, log.select("user_key").distinct().withColumn("at", F.lit(AT))).select("user_key", "at", "version", "value")
+    return reads.get_at(log.select(*COLUMNS, "seq"), log.select("user_key").distinct().withColumn("at", F.lit(AT))).select("user_key", "at", "version", "value")
 
 
 @query("kv_all_versions", f"WITH {LOG} SELECT user_key, version, value FROM log WHERE user_key = '{KEY}'")
@@ -154,7 +154,7 @@ for _name, _mode in (("kv_seek_ge", "ge"), ("kv_seek_le", "le"), ("kv_find_lt",
 )
 def _(spark, d):
     none = {f"{x}_version": F.coalesce(f"{x}_version", F.lit(-1)) for x in ("prev", "next")}
-    return reads.next_prev(events_log(spark, d)).withColumns(none).select("user_key", "version", "prev_user_key", "prev_version", "next_user_key", "next_version")
+    return reads.next_prev(events_log(spark, d).select("user_key", "version", "seq")).withColumns(none).select("user_key", "version", "prev_user_key", "prev_version", "next_user_key", "next_version")
 
 
 # ---- merge
@@ -187,7 +187,7 @@ def _(spark, d):
 @query("kv_merge_reverse", f"SELECT *, row_number() OVER (ORDER BY user_key DESC, version) AS position FROM ({_TWO})")
 def _(spark, d):
     """Backwards; the position tells the order."""
-    return row_number(merge.merge(list(_halves(spark, d))).select(*COLUMNS, "src"), canonical(True), "position")
+    return row_number(merge.merge([t.select(*COLUMNS, "seq") for t in _halves(spark, d)]).select(*COLUMNS, "src"), canonical(True), "position")
 
 
 @query(

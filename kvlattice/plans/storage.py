@@ -21,7 +21,7 @@ from .catalogue import AT, COLUMNS, ENTRIES, LOG, NOW, PREFIX, RECORDS, SPLIT, S
 
 @query("kv_scan_positions", f"WITH {LOG} SELECT user_key, version, row_number() OVER (ORDER BY user_key, version DESC, seq) AS position FROM log")
 def _(spark, d):
-    return reads.number(events_log(spark, d)).select("user_key", "version", "position")
+    return reads.number(events_log(spark, d).select("user_key", "version", "seq")).select("user_key", "version", "position")
 
 
 @query("kv_reverse_positions", f"WITH {LOG} SELECT user_key, version, row_number() OVER (ORDER BY user_key DESC, version, seq) AS position FROM log")
@@ -29,7 +29,7 @@ def _(spark, d):
     from ..model import canonical
     from ..operators.ordering import row_number
 
-    return row_number(events_log(spark, d), [*canonical(True), F.col("seq")], "position").select("user_key", "version", "position")
+    return row_number(events_log(spark, d).select("user_key", "version", "seq"), [*canonical(True), F.col("seq")], "position").select("user_key", "version", "position")
 
 
 @query("kv_seek_many", f"""WITH {LOG}, p AS (SELECT DISTINCT 'user:' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') || CASE WHEN o_orderkey % 2 = 0 THEN 'x' ELSE '' END AS probe FROM orders),
@@ -46,7 +46,7 @@ SELECT user_key, v AS "at", version, value FROM r WHERE n = 1""")
 def _(spark, d):
     e = F.col("event_id")
     asked = read(spark, d, "events").select(F.concat(F.lit("user:"), F.lpad((e % 200).cast("string"), 6, "0")).alias("user_key"), (e % 977 * 9).alias("at"))
-    return reads.get_at(events_log(spark, d), asked).select("user_key", "at", "version", "value")
+    return reads.get_at(events_log(spark, d).select(*COLUMNS, "seq"), asked).select("user_key", "at", "version", "value")
 
 
 # ---- tables on storage
@@ -165,7 +165,7 @@ def _(spark, d):
 
 @query("memtable_scan", f"WITH {LOG}, {WRITES} SELECT user_key, version, row_number() OVER (ORDER BY user_key, version DESC) AS position FROM mem")
 def _(spark, d):
-    return reads.number(merge.insert(_writes(spark, d))).select("user_key", "version", "position")
+    return reads.number(merge.insert(_writes(spark, d).select("user_key", "version", "meta", "seq"))).select("user_key", "version", "position")
 
 
 @query("memtable_stats", f"WITH {LOG}, {WRITES} SELECT count(*) AS entries, CAST(sum(strlen(user_key) + 8 + strlen(value)) AS BIGINT) AS mem_size, max(version) AS max_version FROM mem")
