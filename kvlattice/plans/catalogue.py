@@ -12,6 +12,7 @@ from ..functions import codecs, codecs_sql
 from ..model import TXN, canonical, dead, has
 from ..operators import buffers, gc, manifest, merge, reads, registry, replay, vlog
 from ..operators.ordering import neighbours, row_number
+from ..sources.scratch import importable
 from ..sources.tables import events_log, file_name, parse_file_id, read
 
 NOW, KEY, PREFIX, AT = 5000, "user:000042", "user:00004", 6000
@@ -50,7 +51,11 @@ _sql: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(f):
-        _queries[name] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable(spark)
+            return f(spark, sf_dir)
+
+        _queries[name] = run
         if sql:
             _sql[name] = sql
         return f

@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers of this session import this package."""
+    env = spark.sparkContext.environment
+    have = env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
+    if ROOT not in have.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``. Only where a local session has none (in tests) is
