@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 
 from .units import BYTE_LEVEL, Memo, blocks, cut_pieces, encode_block, find_pieces, gather, laid
 
-#: Distinct pieces, and pairs of tokens, that a worker keeps between blocks, for
-#: each of two generations: some 80 MB, which go when its rows end.
-MEMO_PIECES, MEMO_PAIRS = 150_000, 300_000
+#: Distinct pieces, and pairs of tokens, that a worker keeps, for each of two
+#: generations: some 150 MB at most.
+MEMO_PIECES, MEMO_PAIRS = 300_000, 600_000
 
 
 class PrefixBPE:
@@ -171,16 +171,12 @@ class TextCodec:
         """The ids as decimals with one space between."""
         return gather(ids.astype(np.int64), *self.decimals).tobytes()[1:]
 
-    def forget(self) -> None:
-        self.memo.forget()
-        self.bpe.pairs.forget()
-
 
 _codecs: dict[tuple[str, str], TextCodec] = {}
 
 
 def codec(path: str, pattern: str) -> TextCodec:
-    """One for each worker process."""
+    """One for each worker process, whose tasks share its caches."""
     if (path, pattern) not in _codecs:
         _codecs[path, pattern] = TextCodec(path, pattern)
     return _codecs[path, pattern]
@@ -192,17 +188,14 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path, pattern)
-        try:
-            for block in blocks(batches):
-                ids, counts = tool.encode_texts([t or "" for t in block.column(1).to_pylist()])
-                out, at = [], 0
-                for n in counts.tolist():
-                    own, at = ids[at : at + n], at + n
-                    out.append((n, hashlib.sha256(tool.decimal(own)).hexdigest(), hashlib.sha256(tool.decode(own)).hexdigest()))
-                n, a, b = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        finally:
-            tool.forget()
+        for block in blocks(batches):
+            ids, counts = tool.encode_texts([t or "" for t in block.column(1).to_pylist()])
+            out, at = [], 0
+            for n in counts.tolist():
+                own, at = ids[at : at + n], at + n
+                out.append((n, hashlib.sha256(tool.decimal(own)).hexdigest(), hashlib.sha256(tool.decode(own)).hexdigest()))
+            n, a, b = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
