@@ -501,9 +501,10 @@ def _crc_sql(text: str) -> str:
 
 @query("uvarint_codec", f"WITH x AS (SELECT event_id, event_id * event_id * event_id + event_id AS x FROM events), n AS (SELECT *, CASE WHEN x < 128 THEN 1 ELSE (length(bin(x)) + 6) // 7 END AS n FROM x) SELECT event_id, x, {_bytes_sql('x', 'n')} AS encoded, CAST(n AS INTEGER) AS size FROM n")
 def _(spark, d):
+    """Events whose number does not fit in 64 bits have null in its place, as in its bytes and size."""
     e = F.col("event_id")
-    x = e * e * e + e
-    return read(spark, d, "events").select("event_id", x.alias("x"), F.lower(F.hex(codecs_sql.uvarint(x))).alias("encoded"), codecs_sql.varint_size(x).alias("size"))
+    x = F.try_add(F.try_multiply(F.try_multiply(e, e), e), e)
+    return read(spark, d, "events").select("event_id", x.alias("x"), F.lower(F.hex(codecs_sql.uvarint(x))).alias("encoded"), F.when(x.isNotNull(), codecs_sql.varint_size(x)).alias("size"))
 
 
 EXPIRY = f"CASE WHEN expires_at < 128 THEN printf('%02x', expires_at) ELSE {_bytes_sql('expires_at', f'({VARINT})')} END"

@@ -36,3 +36,11 @@ def test_overlaps_make_no_other_pairs(spark, monkeypatch):
     assert "SortMergeJoin" not in plan(got)
     want = [(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and None not in (x[1], y[1]) and x[1] <= y[2] and x[2] >= y[1]]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_numbers_beyond_64_bits(spark, tmp_path):
+    ids = [0, 5, 2_097_151, 2_097_152, 6_000_000]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: r for r in entry.queries()["uvarint_codec"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == ids and got[2_097_151].x == 2_097_151**3 + 2_097_151 and got[2_097_151].size == 9
+    assert got[6_000_000].x is got[6_000_000].encoded is got[6_000_000].size is None
