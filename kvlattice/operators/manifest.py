@@ -155,8 +155,9 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def replace_tables(manifest: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
-    """Without ``removed`` (table_id), with ``added``."""
-    return manifest.join(removed, "table_id", "left_anti").unionByName(added)
+    """Without ``removed`` (table_id; with level, where an id is a table of more
+    levels than one), with ``added``."""
+    return manifest.join(removed, [c for c in ("level", "table_id") if c in removed.columns], "left_anti").unionByName(added)
 
 
 def live_set(changes: DataFrame) -> DataFrame:

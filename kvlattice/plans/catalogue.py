@@ -294,7 +294,7 @@ def _(spark, d):
     m = _segments(spark, d)
     zero = m.filter("level = 0")
     added = zero.filter("key_count > 50").withColumn("table_id", F.col("table_id") + 1_000_000)
-    return manifest.replace_tables(m, zero.select("table_id"), added).select("table_id", "smallest")
+    return manifest.replace_tables(m, zero.select("level", "table_id"), added).select("table_id", "smallest")
 
 
 CHANGES = "changes AS (SELECT event_id AS seq, user_id AS table_id, CASE WHEN event_type IN ('error', 'signup') THEN 'DELETE' ELSE 'CREATE' END AS op, CAST(event_id % 4 AS INTEGER) AS level FROM events)"

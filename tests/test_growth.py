@@ -44,3 +44,9 @@ def test_numbers_beyond_64_bits(spark, tmp_path):
     got = {r.event_id: r for r in entry.queries()["uvarint_codec"](spark, str(tmp_path)).collect()}
     assert sorted(got) == ids and got[2_097_151].x == 2_097_151**3 + 2_097_151 and got[2_097_151].size == 9
     assert got[6_000_000].x is got[6_000_000].encoded is got[6_000_000].size is None
+
+
+def test_replaced_tables_are_of_their_level(spark):
+    m = spark.createDataFrame([(0, 7), (1, 7), (1, 8)], "level int, table_id long")
+    left = manifest.replace_tables(m, m.filter("level = 0"), m.limit(0))
+    assert sorted(map(tuple, left.collect())) == [(1, 7), (1, 8)]
