@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,17 +76,32 @@ def _low_byte(x: Column) -> Column:
     return F.lpad(F.hex(x.cast("long")), 2, "0")
 
 
+def _mixed(data: pa.Array, stream: pa.Array) -> pa.Array:
+    """Each of ``data`` XOR the first bytes of its stream, null where one is null."""
+    there = data.is_valid().to_numpy(zero_copy_only=False) & stream.is_valid().to_numpy(zero_copy_only=False)
+    at, octets = [], []
+    for x in (data.cast(pa.large_binary()), stream.cast(pa.large_binary())):
+        at.append(np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1])
+        octets.append(np.frombuffer(x.buffers()[2] or b"", np.uint8))
+    n = np.where(there, at[0][1:] - at[0][:-1], 0)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    place = np.arange(ends[-1])
+    out = octets[0][place + np.repeat(at[0][:-1] - ends[:-1], n)] ^ octets[1][place + np.repeat(at[1][:-1] - ends[:-1], n)]
+    mask = pa.py_buffer(np.packbits(there, bitorder="little"))
+    return pa.Array.from_buffers(pa.large_binary(), len(data), [mask, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(out)]).cast(data.type)
+
+
 def aes_ctr(data: Column, key: Column, iv: Column) -> Column:
     """AES in CTR mode: data XOR the encrypted counter, which starts at the 16
     bytes of ``iv`` and counts in its last four. The same call decrypts. Counters
-    are encrypted as one ECB text, whose blocks do not depend on each other."""
+    are encrypted as one ECB text, whose blocks do not depend on each other; the
+    bytes of a batch of rows are mixed at once."""
     blocks = F.greatest(F.ceil(F.octet_length(data) / 16), F.lit(1)).cast("int")
     first = F.conv(F.hex(F.substring(iv, 13, 4)), 16, 10).cast("long")
     count = lambda i: F.concat(F.hex(F.substring(iv, 1, 12)), F.lpad(F.hex((first + i) % (1 << 32)), 8, "0"))
     counters = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), blocks - 1), count), ""))
     stream = F.aes_encrypt(counters, key, F.lit("ECB"), F.lit("PKCS"))
-    mixed = F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda i: _low_byte(_byte(data, i).bitwiseXOR(_byte(stream, i))))
-    return F.when(F.octet_length(data) == 0, F.lit(b"")).otherwise(F.unhex(F.array_join(mixed, "")))
+    return F.arrow_udf(_mixed, "binary")(data, stream)
 
 
 def uvarint(x: Column) -> Column:

@@ -81,3 +81,13 @@ def test_reservations_make_no_pairs(spark, monkeypatch):
         got = gc.reserve(spark.createDataFrame(running, "id long, " + names), spark.createDataFrame(wanted, "id long, " + names))
         assert sorted(r.id for r in got.collect()) == want
     assert max(df.count() for df in made) <= len(wanted)
+
+
+def test_records_are_mixed_by_batches(spark):
+    data = [(i, None if i % 11 == 5 else bytes(random.Random(i).randbytes(i))) for i in range(80)]
+    df = spark.createDataFrame(data, "i int, d binary").withColumn("iv", codecs_sql.file_iv(F.lit(bytes(range(12))), F.lit(4294967290)))
+    hidden = df.withColumn("h", codecs_sql.aes_ctr(F.col("d"), F.lit(b"0123456789abcdef"), F.col("iv")))
+    assert "ArrowEvalPython" in plan(hidden)
+    back = hidden.withColumn("b", codecs_sql.aes_ctr(F.col("h"), F.lit(b"0123456789abcdef"), F.col("iv"))).orderBy("i").collect()
+    assert [(r.i, r.b if r.b is None else bytes(r.b)) for r in back] == data
+    assert all(bytes(r.h) != bytes(r.d) for r in back if r.d and r.i > 3)
