@@ -142,6 +142,19 @@ def ordered_fold(df: DataFrame, by: str, order: list[Column], reads: list[str],
     return df.repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, schema)
 
 
+#: Bytes, as they are stored in files, whose rows one task of ``dealt`` gets; its
+#: partitions at most; and what Spark estimates where it knows no size.
+DEALT, MOST, UNKNOWN = 4 << 20, 20_000, 1 << 60
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt into as many partitions as its size asks for, so that what a
+    task sorts does not grow with it."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(least if size >= UNKNOWN else min(MOST, max(least, size // DEALT)), *by)
+
+
 #: Key ranges that intervals are dealt into: one for PER_RANGE rows, but no fewer
 #: than RANGES and no more than the SAMPLE of keys that their bounds come from.
 RANGES, PER_RANGE, SAMPLE = 64, 512, 4096

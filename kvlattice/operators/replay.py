@@ -7,25 +7,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import FIN_TXN, TXN, has
+from .ordering import dealt
 
 
-def replay(log: DataFrame) -> DataFrame:
-    """Rows (fid, seq, user_key, version, meta, fin_version) that a replay of
-    each file applies.
+def _marked(log: DataFrame) -> DataFrame:
+    """``log`` with _applied: whether a replay of its file applies a row.
 
     Rows with the TXN bit wait for the FIN row of their version; a wrong version,
     or a row outside of transactions in the midst of one, ends the file; an
-    unfinished transaction at the end is dropped. Every rule looks at the row
-    before or at the frame's first row, so windows do: a file is cut at its
-    first violation. Files are bounded in size, as they are rotated."""
+    unfinished transaction at the end is dropped. Before a file's first violation
+    the row before tells which transaction is open, and a row with the TXN bit is
+    applied if a FIN row follows. So all windows share one sort, in as many
+    tasks as the log's size asks for. Files are bounded in size, as they are
+    rotated."""
     order = Window.partitionBy("fid").orderBy("seq")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
     kind = F.when(has(TXN), "t").when(has(FIN_TXN), "f").otherwise("n")
-    rows = log.withColumn("_kind", kind)
-    # a frame ends with each FIN row; the version of a frame is its first one
-    rows = rows.withColumn("_frame", F.coalesce(F.sum((F.col("_kind") == "f").cast("int")).over(before), F.lit(0)))
-    frame = Window.partitionBy("fid", "_frame").orderBy("seq")
-    open_ = F.first(F.when(F.col("_kind") == "t", F.col("version")), ignorenulls=True).over(frame.rowsBetween(Window.unboundedPreceding, -1))
+    rows = dealt(log, "fid").withColumn("_kind", kind)
+    open_ = F.lag(F.when(F.col("_kind") == "t", F.col("version"))).over(order)
     rows = rows.withColumn("_open", F.coalesce(open_, F.lit(0)))
     wrong = (
         F.when(F.col("_kind") == "t", (F.col("_open") != 0) & (F.col("_open") != F.col("version")))
@@ -33,10 +31,16 @@ def replay(log: DataFrame) -> DataFrame:
         .otherwise(F.col("_open") != 0)
     )
     rows = rows.withColumn("_bad", F.max(wrong.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.filter("_bad = 0")
-    done = Window.partitionBy("fid", "_frame")
-    rows = rows.withColumn("_ended", F.max((F.col("_kind") == "f").cast("int")).over(done))
-    return rows.filter("_kind = 'n' or (_kind = 't' and _ended = 1)").drop("_kind", "_frame", "_open", "_bad", "_ended")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("_end", F.max(F.when((F.col("_kind") == "f") & (F.col("_bad") == 0), F.col("seq"))).over(whole))
+    applied = (F.col("_bad") == 0) & ((F.col("_kind") == "n") | (F.col("_kind") == "t") & (F.col("seq") < F.col("_end")))
+    return rows.withColumn("_applied", F.coalesce(applied, F.lit(False))).drop("_kind", "_open", "_bad", "_end")
+
+
+def replay(log: DataFrame) -> DataFrame:
+    """Rows (fid, seq, user_key, version, meta, fin_version) that a replay of
+    each file applies (see ``_marked``)."""
+    return _marked(log).filter("_applied").drop("_applied")
 
 
 def replay_in_order(log: DataFrame) -> DataFrame:
@@ -63,11 +67,11 @@ def replay_in_order(log: DataFrame) -> DataFrame:
     return log.groupBy("fid").applyInPandas(fold, log.schema)
 
 
-def valid_end(log: DataFrame, applied: DataFrame) -> DataFrame:
+def valid_end(log: DataFrame) -> DataFrame:
     """Of each file, the number of rows to keep and the largest version: what
-    lies behind the last applied row may be cut."""
-    ends = applied.groupBy("fid").agg((F.max("seq") + 1).alias("valid_end"), F.max("version").alias("max_version"))
-    return log.select("fid").distinct().join(ends, "fid", "left")
+    lies behind the last row that a replay applies may be cut."""
+    at = lambda c: F.max(F.when(F.col("_applied"), F.col(c)))
+    return _marked(log).groupBy("fid").agg((at("seq") + 1).alias("valid_end"), at("version").alias("max_version"))
 
 
 def done_until(marks: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import codecs, codecs_sql
 from ..model import TXN, canonical, dead, has
 from ..operators import buffers, gc, manifest, merge, reads, registry, replay, vlog
-from ..operators.ordering import neighbours, row_number
+from ..operators.ordering import dealt, neighbours, row_number
 from ..sources.scratch import importable
 from ..sources.tables import events_log, file_name, parse_file_id, read
 
@@ -528,7 +528,7 @@ def _framed(spark, d):
     line = read(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 100).alias("fid"), (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("seq"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("user_key"), (F.col("l_orderkey") + 1).alias("version"), F.lit(TXN).alias("meta"), F.lit(None).cast("long").alias("fin_version"))
     o = F.col("o_orderkey")
     ends = read(spark, d, "orders").filter(o % 997 != 5).select(F.floor(o / 100).alias("fid"), (o * 16 + 15).alias("seq"), F.lit("!fin").alias("user_key"), (o + 1).alias("version"), F.lit(128).alias("meta"), F.when(o % 991 == 7, o).otherwise(o + 1).alias("fin_version"))
-    has_lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")).distinct()
+    has_lines = dealt(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")), "k").distinct()
     return line.unionByName(ends.join(has_lines, F.expr("version - 1 = k"), "left_semi"))
 
 
@@ -547,8 +547,7 @@ def _(spark, d):
 
 @query("wal_valid_end", REPLAY.replace("SELECT l_orderkey // 100 AS fid, l_orderkey * 16 + l_linenumber AS seq, 'part:' || l_partkey AS user_key, l_orderkey + 1 AS version", ", a AS (SELECT l_orderkey // 100 AS fid, l_orderkey * 16 + l_linenumber AS seq, l_orderkey + 1 AS version") + ") SELECT f.fid, max(seq) + 1 AS valid_end, max(version) AS max_version FROM (SELECT DISTINCT l_orderkey // 100 AS fid FROM lineitem) f LEFT JOIN a USING (fid) GROUP BY f.fid")
 def _(spark, d):
-    log = _framed(spark, d)
-    return replay.valid_end(log, replay.replay(log))
+    return replay.valid_end(_framed(spark, d))
 
 
 @query(

@@ -91,3 +91,20 @@ def test_records_are_mixed_by_batches(spark):
     back = hidden.withColumn("b", codecs_sql.aes_ctr(F.col("h"), F.lit(b"0123456789abcdef"), F.col("iv"))).orderBy("i").collect()
     assert [(r.i, r.b if r.b is None else bytes(r.b)) for r in back] == data
     assert all(bytes(r.h) != bytes(r.d) for r in back if r.d and r.i > 3)
+
+
+def test_replay_sorts_once(spark):
+    log = spark.createDataFrame([(1, 1, "k", 1, 64, None), (1, 2, "!", 1, 128, 1), (1, 3, "k", 2, 64, None), (2, 1, "k", 9, 64, None), (2, 2, "k", 8, 0, None)], "fid long, seq long, user_key string, version long, meta int, fin_version long")
+    assert plan(replay.replay(log)).count("Sort [") == 1
+    assert [(r.fid, r.seq) for r in replay.replay(log).collect()] == [(1, 1)]
+    ends = replay.valid_end(log)
+    assert plan(ends).count("Sort [") == 1
+    assert sorted(map(tuple, ends.collect()), key=str) == [(1, 2, 1), (2, None, None)]
+
+
+def test_partitions_follow_the_size(spark, tmp_path, monkeypatch):
+    spark.range(100_000).write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(ordering, "DEALT", 10_000)
+    parts = ordering.dealt(spark.read.parquet(str(tmp_path / "t")), "id").rdd.getNumPartitions()
+    assert parts > 20
+    assert ordering.dealt(spark.createDataFrame([(1,)], "id long"), "id").rdd.getNumPartitions() <= 4  # no size is known
