@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..functions.codecs import decode_record, encode_record
 from ..functions.codecs_sql import record_bytes, u64_big_endian
@@ -34,7 +34,8 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class LogFileWriter:
-    """One log file, which gets its name when it is closed."""
+    """One log file, which gets its name when it is closed. One that is set aside
+    is opened again, at its end, by the next write (where the store appends)."""
 
     def __init__(self, folder: str, fid: int, key_id: int = 0, base: bytes = bytes(12)):
         self.store, at = _store(folder)
@@ -45,10 +46,15 @@ class LogFileWriter:
 
     def write(self, data: bytes) -> int:
         """Appends, and returns where the data begin."""
+        if self.out.closed:
+            self.out = self.store.open_append_stream(self.part)
         self.out.write(data)
         self.size += len(data)
         return self.size - len(data)
 
+    def set_aside(self) -> None:
+        self.out.close()
+
     def close(self) -> None:
         self.out.close()
         self.store.move(self.part, self.path)
@@ -148,39 +154,59 @@ def _slice(content: Column, p: Column, size: Column) -> Column:
     return F.when(p["offset"] + p["len"] <= size, F.substring(content, (p["offset"] + 1).cast("int"), p["len"].cast("int")))
 
 
-class _File(InputPartition):
-    def __init__(self, fid: int, path: str):
-        self.fid, self.path = fid, path
+#: Bytes of log files that a task reads, one file after the other, and files that a task has open.
+READ, OPEN = 16 << 20, 64
+
+
+class _Files(InputPartition):
+    def __init__(self, files: list[tuple[int, str]]):
+        self.files = files
 
 
 class _Reader(DataSourceReader):
     def __init__(self, folder: str, start: int):
         self.folder, self.start = folder, start
 
-    def partitions(self) -> list[_File]:
+    def partitions(self) -> list[_Files]:
         store, at = _store(self.folder)
-        found = store.get_file_info(fs.FileSelector(at))
-        return [_File(int(m[1]), x.path) for x in sorted(found, key=lambda x: x.path) if (m := NAME.search(x.path))]
-
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+        out, size = [], READ
+        for x in sorted(store.get_file_info(fs.FileSelector(at)), key=lambda x: x.path):
+            if m := NAME.search(x.path):
+                if size + x.size > READ:
+                    out, size = [*out, []], 0
+                out[-1].append((int(m[1]), x.path))
+                size += x.size
+        return [_Files(x) for x in out]
+
+    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
         store, _ = _store(self.folder)
-        with store.open_input_stream(partition.path) as f:
-            data = f.read()
-        yield from _batches(_records(partition.fid, data, self.start))
 
+        def records() -> Iterator[tuple]:
+            for fid, path in partition.files:
+                with store.open_input_stream(path) as f:
+                    data = f.read()
+                yield from _records(fid, data, self.start)
+
+        yield from _batches(records())
 
-class _Writer(DataSourceWriter):
+
+class _Writer(DataSourceArrowWriter):
     """Rows of one ``fid`` belong into one partition, in their order."""
 
     def __init__(self, folder: str):
         self.folder = folder
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         files: dict[int, LogFileWriter] = {}
-        for r in rows:
-            if r.fid not in files:
-                files[r.fid] = LogFileWriter(self.folder, r.fid)
-            files[r.fid].write(encode_record(bytes(r.user_key), r.version, bytes(r.value), r.meta, r.user_meta, r.expires_at))
+        open_: dict[int, LogFileWriter] = {}  # the one that was written last comes last
+        for batch in batches:
+            for fid, key, version, value, meta, user_meta, expires_at in zip(*[batch.column(c).to_pylist() for c in ("fid", *FIELDS[2:])], strict=True):
+                if fid not in files:
+                    files[fid] = LogFileWriter(self.folder, fid)
+                open_[fid] = open_.pop(fid, files[fid])
+                if len(open_) > OPEN:
+                    open_.pop(next(iter(open_))).set_aside()
+                files[fid].write(encode_record(key, version, value, meta, user_meta, expires_at))
         for file in files.values():
             file.close()
         return WriterCommitMessage()
@@ -199,5 +225,5 @@ class WalSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options["path"], int(self.options.get("offset", HEADER)))
 
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(self.options["path"])

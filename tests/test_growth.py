@@ -108,3 +108,19 @@ def test_partitions_follow_the_size(spark, tmp_path, monkeypatch):
     parts = ordering.dealt(spark.read.parquet(str(tmp_path / "t")), "id").rdd.getNumPartitions()
     assert parts > 20
     assert ordering.dealt(spark.createDataFrame([(1,)], "id long"), "id").rdd.getNumPartitions() <= 4  # no size is known
+
+
+def test_log_files_share_tasks(tmp_path, monkeypatch):
+    monkeypatch.setattr(wal, "OPEN", 2)
+    rows = [(i % 5, 0, 0, f"k{i}".encode(), i, b"v" * i, 1, 0, i) for i in range(40)]  # files take turns
+    names = ["fid", *wal.FIELDS]
+    batches = [wal._batch(rows[:17]), wal._batch(rows[17:])]
+    wal._Writer(str(tmp_path)).write(iter(batches))
+    reader = wal._Reader(str(tmp_path), wal.HEADER)
+    parts = reader.partitions()
+    assert len(parts) == 1
+    found = pa.Table.from_batches([b for p in parts for b in reader.read(p)]).to_pylist()
+    keep = [c for c in names if c not in ("offset", "len")]
+    assert [tuple(r[c] for c in keep) for r in found] == [tuple(r[names.index(c)] for c in keep) for r in sorted(rows, key=lambda r: r[0])]
+    monkeypatch.setattr(wal, "READ", 1)
+    assert len(reader.partitions()) == 5
