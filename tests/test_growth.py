@@ -124,3 +124,17 @@ def test_log_files_share_tasks(tmp_path, monkeypatch):
     assert [tuple(r[c] for c in keep) for r in found] == [tuple(r[names.index(c)] for c in keep) for r in sorted(rows, key=lambda r: r[0])]
     monkeypatch.setattr(wal, "READ", 1)
     assert len(reader.partitions()) == 5
+
+
+def test_many_picked_tables_open_no_other(spark, tmp_path, monkeypatch):
+    data = [(f"k{i:03d}", i, f"v{i}", 0, 0, 0, i % 2, i % 6 if i % 7 else None, 0, i) for i in range(60)]
+    log = spark.createDataFrame(data, KV_LOG)
+    tables.write_tables(log, str(tmp_path / "t"))
+    assert sorted(map(tuple, spark.read.schema(KV_LOG).parquet(str(tmp_path / "t")).select(*KV_LOG.names).collect())) == data
+    (tmp_path / "t/level=0/table_id=0/broken.parquet").write_bytes(b"not a table")
+    picked = log.select("level", "table_id").filter("table_id > 1").distinct()
+    monkeypatch.setattr(tables, "NAMED", 2)
+    got = tables.read_tables(spark, str(tmp_path / "t"), KV_LOG, picked)
+    assert sorted(map(tuple, got.select(*KV_LOG.names).collect())) == [r for r in data if (r[7] or 0) > 1]
+    assert "Broadcast" not in plan(got.join(spark.createDataFrame([("k001",)], "user_key string"), "user_key"))
+    assert got.rdd.getNumPartitions() == 4  # as many as the session shuffles into
