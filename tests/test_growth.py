@@ -38,6 +38,21 @@ def test_overlaps_make_no_other_pairs(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_overlaps_of_equal_keys_in_several_parts(spark, monkeypatch):
+    def mixed(batches):  # rows as they may come from a shuffle: in any order
+        for batch in batches:
+            yield batch.take(pa.array(random.Random(batch.num_rows).sample(range(batch.num_rows), batch.num_rows)))
+
+    monkeypatch.setattr(manifest, "MET", 8)
+    rows = [(i, f"k{i % 3}", f"k{i % 3 + i % 2}") for i in range(90)] + [(None, "k0", "k9")]
+    m = spark.createDataFrame(rows, "table_id long, smallest string, biggest string")
+    kind = type(m)
+    real = kind.sortWithinPartitions
+    monkeypatch.setattr(kind, "sortWithinPartitions", lambda df, *by: real(df.mapInArrow(mixed, df.schema), *by))
+    want = [(x[0], y[0]) for x in rows[:90] for y in rows[:90] if x[0] < y[0] and x[1] <= y[2] and x[2] >= y[1]]
+    assert sorted(map(tuple, manifest.overlapping_pairs(m).collect())) == sorted(want)
+
+
 def test_numbers_beyond_64_bits(spark, tmp_path):
     ids = [0, 5, 2_097_151, 2_097_152, 6_000_000]
     spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
