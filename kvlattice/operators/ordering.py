@@ -160,9 +160,9 @@ def dealt(df: DataFrame, *by: str) -> DataFrame:
 RANGES, PER_RANGE, SAMPLE = 64, 512, 4096
 
 
-def bounds(df: DataFrame, key: str) -> list:
+def bounds(df: DataFrame, key: str, per_range: int = PER_RANGE) -> list:
     """Keys that cut a bounded sample of the distinct ones into even ranges."""
-    ranges = min(SAMPLE, max(RANGES, df.count() // PER_RANGE))
+    ranges = min(SAMPLE, max(RANGES, df.count() // per_range))
     rows = df.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(SAMPLE).collect()
     values = sorted(r[0] for r in rows)
     return values[:: max(1, len(values) // ranges)][1 : ranges + 1]

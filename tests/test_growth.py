@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from kvlattice.functions import codecs_sql
+from kvlattice.functions import codecs, codecs_sql
 from kvlattice.model import KV_LOG
-from kvlattice.operators import gc, manifest, ordering, replay
+from kvlattice.operators import gc, levels, manifest, ordering, replay
 from kvlattice.sources import tables, wal
 
 
@@ -153,3 +153,30 @@ def test_many_picked_tables_open_no_other(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, got.select(*KV_LOG.names).collect())) == [r for r in data if (r[7] or 0) > 1]
     assert "Broadcast" not in plan(got.join(spark.createDataFrame([("k001",)], "user_key string"), "user_key"))
     assert got.rdd.getNumPartitions() == 4  # as many as the session shuffles into
+
+
+def test_gets_make_no_row_of_a_pair_that_a_filter_rules_out(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    data = [(f"k{rng.randrange(400):03d}é", i, f"v{i}", 0, 0, 0, t % 3, t, 0, i) for i, t in enumerate(i % 40 for i in range(2400))]
+    log = spark.createDataFrame(data, KV_LOG)
+    tables.write_tables(log, str(tmp_path / "t"))
+    stats, filters = manifest.table_stats(log), codecs.table_filters(log).filter("table_id <> 7")  # one has none
+    asked = [(f"k{i:03d}é" + end, at) for i in range(400) for end in ("", "#") for at in (900, 2000)] + [(None, 5), ("", 5), ("z", 5)]
+    keys = spark.createDataFrame(asked, "user_key string, at long")
+    old = codecs.probe_filters(filters, levels.candidates(keys, stats)).filter("may").select("user_key", "at", "level", "table_id")
+    want = sorted(map(tuple, old.collect()))
+    made = []
+    real = levels.materialize
+    monkeypatch.setattr(levels, "materialize", lambda df, name: made.append((name, real(df, name))) or made[-1][1])
+    monkeypatch.setattr(levels, "candidates", None)
+    got = levels.get(spark, str(tmp_path / "t"), KV_LOG, stats, filters, keys)
+    newest = {}
+    for key, version, value, *_ in data:
+        for at in (900, 2000):
+            if version <= at:
+                newest[key, at] = (version, value)
+    assert {(r.user_key, r.at): (r.version, r.value) for r in got.collect()} == newest
+    for held in (1 << 16, 100, 7):  # ranges of more keys are split
+        monkeypatch.setattr(levels, "KEYS", held)
+        assert sorted(map(tuple, levels.may_hold(keys, stats, filters).collect())) == want
+    assert dict(made)["candidates"].count() == len(want) < len(asked) * 40 / 2
