@@ -53,6 +53,20 @@ def test_overlaps_of_equal_keys_in_several_parts(spark, monkeypatch):
     assert sorted(map(tuple, manifest.overlapping_pairs(m).collect())) == sorted(want)
 
 
+def test_wide_tables_are_not_in_all_ranges(spark, monkeypatch):
+    monkeypatch.setattr(manifest, "MET", 256)
+    rng, n = random.Random(8), 1500
+    rows = [(i % 1450, *sorted(f"k{rng.randrange(2000):04d}" for _ in range(2))) for i in range(n)]
+    m = spark.createDataFrame(rows, "table_id long, smallest string, biggest string")
+    kind, dealt = type(m), []
+    real = kind.sortWithinPartitions
+    monkeypatch.setattr(kind, "sortWithinPartitions", lambda df, *by: dealt.append(df) or real(df, *by))
+    got = manifest.overlapping_pairs(m)
+    want = [(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1] <= y[2] and x[2] >= y[1]]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert dealt[0].count() < 30 * n
+
+
 def test_numbers_beyond_64_bits(spark, tmp_path):
     ids = [0, 5, 2_097_151, 2_097_152, 6_000_000]
     spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
