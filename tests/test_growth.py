@@ -26,6 +26,16 @@ def test_ranges_are_found_by_halving(spark):
     assert "filter(" not in str(found)
 
 
+def test_ranges_are_even(spark):
+    for n in (0, 1, 2, 64, 65, 127, 200, 5000):  # 127: no whole number of keys for each of 64 ranges
+        keys = spark.createDataFrame([(f"k{i:05d}",) for i in range(n)], "k string")
+        at = ordering.bounds(keys, "k")
+        held = [0] * (len(at) + 1)
+        for i in range(n):
+            held[bisect_right(at, f"k{i:05d}")] += 1
+        assert at == sorted(set(at)) and max(held) <= max(2, 2 * n / 64) and len(at) < 65
+
+
 def test_overlaps_make_no_other_pairs(spark, monkeypatch):
     monkeypatch.setattr(manifest, "MET", 40)  # ranges of more are split
     rng = random.Random(3)
